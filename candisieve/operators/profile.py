@@ -155,8 +155,5 @@ def dataset_stats(valid: DataFrame, malformed: DataFrame | None = None) -> DataF
         F.count_if(n_skills == 0).alias("missing_skills"),
         F.count_if(F.size(_jobs()) == 0).alias("missing_work_history"),
     )
-    if malformed is None:
-        return stats.withColumn("malformed_candidates", F.lit(0).cast("long"))
-    bad = malformed.agg(F.count("*").alias("malformed_candidates"))
-    # Two one-row aggregates, put side by side on a constant key.
-    return (stats.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    bad = F.lit(0).cast("long") if malformed is None else malformed.agg(F.count("*")).scalar()
+    return stats.withColumn("malformed_candidates", bad)

@@ -136,16 +136,18 @@ FLAT_SQL = {
           CAST(c.c_custkey % 3 - 1 AS DOUBLE) AS offer_rate,
           c.c_custkey % 4 <> 0 AS verified_email, c.c_custkey % 5 <> 0 AS verified_phone,
           c.c_custkey % 6 <> 0 AS linkedin
-        FROM {{customer}} c
+        FROM (SELECT c_custkey, c_nationkey, c_acctbal,
+            c_custkey % (SELECT max(doc_id) + 1 FROM {{documents}}) AS doc_key,
+            c_custkey % (SELECT max(user_id) + 1 FROM {{events}}) AS user_key FROM {{customer}}) c
         LEFT JOIN {{nation}} n ON n.n_nationkey = c.c_nationkey
-        LEFT JOIN {{documents}} d ON d.doc_id = c.c_custkey % (SELECT max(doc_id) + 1 FROM {{documents}})
+        LEFT JOIN {{documents}} d ON d.doc_id = c.doc_key
         LEFT JOIN (SELECT user_id, count(*) AS n_all,
             sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS n_click,
             sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS n_view,
             sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS n_purchase,
             sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS n_signup
           FROM {{events}} GROUP BY user_id) e
-          ON e.user_id = c.c_custkey % (SELECT max(user_id) + 1 FROM {{events}})""",
+          ON e.user_id = c.user_key""",
     # skills of a candidate in list order
     "cand_skill": f"""
         SELECT {cid('custkey')} AS candidate_id,
