@@ -69,7 +69,15 @@ def mark_bounds(c) -> Column:
 def mark_literal(c) -> Column:
     """A search literal prepared for ``bounded_in``: marked, with both ends bounded."""
     inner = F.regexp_replace(mark_bounds(c), f"^{BOUND}|{BOUND}$", "")
-    return F.concat(F.lit(BOUND), inner, F.lit(BOUND))
+    return F.when(inner == "", F.lit(BOUND)).otherwise(F.concat(F.lit(BOUND), inner, F.lit(BOUND)))
+
+
+def mark_word(c) -> Column:
+    """As ``mark_literal``, but an end is bounded only where it is a letter or digit."""
+    inner = F.regexp_replace(mark_bounds(c), f"^{BOUND}|{BOUND}$", "")
+    return F.concat(
+        F.when(inner.rlike(r"^[\p{L}\p{N}]"), BOUND).otherwise(""), inner,
+        F.when(inner.rlike(r"[\p{L}\p{N}]$"), BOUND).otherwise(""))
 
 
 def bounded_in(marked_literal: Column, marked_text: Column) -> Column:
