@@ -40,7 +40,7 @@ def norm_text(c) -> Column:
 
 def norm_list(c) -> Column:
     """Normalised items, empty ones dropped, first occurrence kept."""
-    items = F.transform(F.coalesce(_col(c), F.array().cast("array<string>")), norm_text)
+    items = F.transform(F.coalesce(_col(c), no_strings()), norm_text)
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
 
@@ -100,28 +100,57 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return c.rlike(any_of(words))
 
 
+def sql_value(value) -> str:
+    """A constant as SQL text: strings, numbers, lists and dictionaries of them.
+
+    Constant tables go to Spark as one SQL literal each, which the optimiser folds.
+    """
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, Mapping):
+        return "map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(sql_value(v) for v in value) + ")"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def constant(value) -> Column:
+    return F.expr(sql_value(value))
+
+
+def records(rows: Iterable[Mapping]) -> Column:
+    """A constant array of structs."""
+    items = ("struct(" + ", ".join(f"{sql_value(v)} AS {k}" for k, v in row.items()) + ")" for row in rows)
+    return F.expr("array(" + ", ".join(items) + ")")
+
+
 def word_list(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return constant(list(words))
 
 
 def in_words(c: Column, words: Iterable[str]) -> Column:
-    return c.isin(*list(words))
+    return F.array_contains(word_list(words), c)
 
 
 def lookup(c: Column, table: Mapping[str, str], default: Column | None = None) -> Column:
     """Constant dictionary lookup as one map literal."""
-    entries = [F.lit(v) for pair in table.items() for v in pair]
-    found = F.try_element_at(F.create_map(*entries), c)
+    found = F.try_element_at(constant(table), c)
     return F.coalesce(found, c if default is None else default)
 
 
 def list_lookup(c: Column, table: Mapping[str, list[str]]) -> Column:
     """Constant dictionary of string lists; a missing key gives an empty list."""
-    entries: list[Column] = []
-    for key, values in table.items():
-        entries += [F.lit(key), word_list(values)]
-    return F.coalesce(
-        F.try_element_at(F.create_map(*entries), c), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(constant(table), c), no_strings())
+
+
+def no_strings() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also when ``use`` reads it
+    inside lambdas (which evaluate what they capture for every element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def reverse_aliases(table: Mapping[str, list[str]]) -> dict[str, str]:

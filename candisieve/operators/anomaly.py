@@ -15,7 +15,7 @@ from candisieve.functions.fixed_values import (
     AS_OF_DATE, AS_OF_YEAR, EXPERT_LEVELS, RELEASE_YEARS, SENIOR_TITLE_WORDS,
 )
 from candisieve.functions.text import (
-    bounded_in, contains_any, in_words, lower_strip, mark_bounds, py_mark_literal, try_date,
+    bounded_in, contains_any, in_words, lower_strip, mark_bounds, py_mark_literal, records, try_date,
 )
 from candisieve.functions.topk import top_k_per_key
 
@@ -139,10 +139,8 @@ def has_release_anomaly(
     releases: Mapping[str, int] = RELEASE_YEARS, as_of_year: int = AS_OF_YEAR,
 ) -> Column:
     """A technology used for longer than it exists."""
-    known = F.array(*[
-        F.struct(F.lit(py_mark_literal(name)).alias("mark"),
-                 F.lit(as_of_year - year + 0.5).alias("allowed"))
-        for name, year in releases.items()])
+    known = records({"mark": py_mark_literal(name), "allowed": as_of_year - year + 0.5}
+                    for name, year in releases.items())
     shortest = as_of_year - max(releases.values()) + 0.5
     claimed = F.filter(
         F.transform("skills", lambda s: F.struct(

@@ -21,21 +21,14 @@ from candisieve.functions.fixed_values import (
     SIMILARITY_SYNONYMS, SKILL_ALIASES, SUPPORTED_DOMAINS,
 )
 from candisieve.functions.text import (
-    BOUND, bounded_in, clean_skill, in_words, list_lookup, lookup, lower_strip, mark_bounds, mark_literal,
-    mark_word, py_mark_literal, reverse_aliases, strip, word_list,
+    bounded_in, clean_skill, constant, in_words, let, list_lookup, lookup, lower_strip, mark_bounds,
+    mark_literal, mark_word, no_strings, py_mark_literal, records, reverse_aliases, strip,
 )
 
 ALIAS_OF = reverse_aliases(SKILL_ALIASES)
 CERT_OF = reverse_aliases(CERT_ALIASES)
-NO_STRINGS = "array<string>"
 
-
-def _strings(values: list[str]) -> Column:
-    return word_list(values)
-
-
-def _empty() -> Column:
-    return F.array().cast(NO_STRINGS)
+_empty = no_strings
 
 
 def _first(array: Column, keep: Callable, make: Callable) -> Column:
@@ -142,10 +135,9 @@ def skill_matches(pairs: DataFrame, synonyms: DataFrame | None = None) -> DataFr
 
     first_seen = F.array_distinct(F.filter(F.transform(
         F.coalesce("preferred_skills", _empty()), lambda r: normalize_skill(r, syn)), lambda r: r != ""))
-    df = df.withColumn("_first_seen", first_seen)
-    df = df.withColumn("_pref", F.transform("_pref", lambda r: F.struct(
+    df = df.withColumn("_pref", let(first_seen, lambda seen: F.transform("_pref", lambda r: F.struct(
         r["norm"].alias("norm"), r["mark"].alias("mark"), r["is_cert"].alias("is_cert"),
-        F.array_position(F.col("_first_seen"), r["norm"]).alias("pos"))))
+        F.array_position(seen, r["norm"]).alias("pos")))))
     preferred_synonyms = F.array_distinct(F.transform(F.filter("_skills", lambda s: F.exists(
         "_pref", lambda r: skill_hit(s, r)
         & ~F.exists(F.filter("_skills", lambda o: o["norm"] == s["norm"]), lambda o: exact_hit(o, r))
@@ -190,10 +182,12 @@ def constituents(requirement: Column, technical_skills: Column) -> Column:
     def spaced(c: Column) -> Column:
         return F.regexp_replace(c, "[-_/]", " ")
 
-    line = F.lower(requirement)
     kept = F.filter(F.transform(technical_skills, strip), lambda t: (F.length(t) >= 2)
                     & ~in_words(F.lower(t), GENERIC_SKILL_WORDS))
-    return F.filter(kept, lambda t: named(F.lower(t), line) | named(spaced(F.lower(t)), spaced(line)))
+    line = F.lower(requirement)
+    texts = F.struct(line.alias("line"), spaced(line).alias("spaced"))
+    return let(texts, lambda x: F.filter(kept, lambda t: named(F.lower(t), x["line"])
+                                         | named(spaced(F.lower(t)), x["spaced"])))
 
 
 def _ontology_terms() -> tuple[list[str], list[str], list[str]]:
@@ -212,44 +206,45 @@ def ontology_terms_in_text(text: Column) -> Column:
     boundaries and ignore case.
     """
     many, alpha, symbol = _ontology_terms()
-    spaced = F.regexp_replace(F.lower(text), "[-_/]", " ")
-    marked = mark_bounds(text)
-    low = F.lower(marked)
 
     def as_spaced(term: str) -> str:
         return "".join(" " if ch in "-_/" else ch for ch in term)
 
-    many_terms = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(as_spaced(t)).alias("find")) for t in many])
-    alpha_terms = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(py_mark_literal(t)).alias("find")) for t in alpha])
+    many_terms = records({"term": t, "find": as_spaced(t)} for t in many)
+    alpha_terms = records({"term": t, "find": py_mark_literal(t)} for t in alpha)
+    symbol_terms = records(
+        {"term": t, "find": "(?<![a-zA-Z0-9])" + _quote(as_spaced(t)) + "(?![a-zA-Z0-9])"} for t in symbol)
+    marked = mark_bounds(text)
+    prepared = F.struct(F.regexp_replace(F.lower(text), "[-_/]", " ").alias("spaced"), marked.alias("marked"),
+                        F.lower(marked).alias("low"))
 
-    def capitalised(t: Column) -> Column:
-        at = F.position(t["find"], low)
-        found = F.substr(marked, at + 1, F.length(t["term"]))
+    def capitalised(t: Column, x: Column) -> Column:
+        at = F.position(t["find"], x["low"])
+        found = F.substr(x["marked"], at + 1, F.length(t["term"]))
         return (at > 0) & (found != F.lower(found))
 
-    symbols = [
-        F.when(spaced.rlike(
-            "(?<![a-zA-Z0-9])" + _quote(as_spaced(t)) + "(?![a-zA-Z0-9])"), F.lit(t)) for t in symbol]
-    term = lambda t: t["term"]
-    return F.array_sort(F.concat(
-        F.transform(F.filter(many_terms, lambda t: F.contains(spaced, t["find"])), term),
-        F.transform(F.filter(alpha_terms, capitalised), term),
-        F.filter(F.array(*symbols), lambda t: t.isNotNull())))
+    def found(x: Column) -> Column:
+        hits = F.concat(
+            F.filter(many_terms, lambda t: F.contains(x["spaced"], t["find"])),
+            F.filter(alpha_terms, lambda t: capitalised(t, x)),
+            F.filter(symbol_terms, lambda t: F.rlike(x["spaced"], t["find"])))
+        return F.array_sort(F.transform(hits, lambda t: t["term"]))
+
+    return let(prepared, found)
 
 
 def _quote(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def critical_skills(requirements: Column, n: int = 2) -> tuple[Column, Column]:
+def critical_skills(requirements: Column, line_terms: Column, n: int = 2) -> tuple[Column, Column]:
     """The critical skills of a job, and whether they are ontology terms.
 
     The first ``n`` ontology terms, in alphabetical order, of all required lines; if the
-    lines name none, the first ``n`` lines themselves.
+    lines name none, the first ``n`` lines themselves. ``line_terms`` holds the ontology
+    terms of each line.
     """
-    terms = F.array_sort(F.array_distinct(F.flatten(F.transform(requirements, ontology_terms_in_text))))
+    terms = F.array_sort(F.array_distinct(F.flatten(line_terms)))
     atomic = F.size(terms) > 0
     return F.when(atomic, F.slice(terms, 1, n)).otherwise(F.slice(requirements, 1, n)), atomic
 
@@ -264,10 +259,7 @@ def _similarity_tables() -> dict[str, dict[str, float]]:
 
 def _similar_to(c: Column) -> Column:
     """Similarities of one name to all others, as a map."""
-    entries: list[Column] = []
-    for name, others in _similarity_tables().items():
-        entries += [F.lit(name), F.create_map(*[F.lit(x) for pair in others.items() for x in pair])]
-    return F.try_element_at(F.create_map(*entries), c)
+    return F.try_element_at(constant(_similarity_tables()), c)
 
 
 def _meaningful(tokens: Column) -> Column:
@@ -310,26 +302,32 @@ def prepare_jobs(jobs: DataFrame) -> DataFrame:
     required = F.coalesce("requirements", no_list)
     preferred = F.filter(F.coalesce("preferred_skills", no_list), lambda p: F.lower(p) != "none specified")
     tech = F.coalesce("technical_skills", no_list)
-    critical, atomic = critical_skills(required)
-    df = jobs.withColumn("critical", critical).withColumn("atomic", atomic)
-
-    def line(text: Column, idx: Column, is_required: bool) -> Column:
-        terms = ontology_terms_in_text(text)
-        crit = F.when(F.col("atomic"), F.arrays_overlap(terms, F.col("critical"))).otherwise(idx < 2) \
-            if is_required else F.lit(False)
-        offset = F.lit(0) if is_required else F.size(required)
-        weight = F.when(crit, 1.0).otherwise(0.8) if is_required else F.lit(0.4)
+
+    def parsed(text: Column) -> Column:
+        return F.struct(requirement_unit(text).alias("unit"),
+                        F.transform(constituents(text, tech), requirement_unit).alias("parts"))
+
+    df = jobs.withColumn("_terms", F.transform(required, ontology_terms_in_text))
+    critical, atomic = critical_skills(required, F.col("_terms"))
+    # Required lines first; a preferred line has no ontology terms here (null).
+    lines = F.concat(
+        F.zip_with(required, "_terms", lambda r, t: F.struct(r.alias("text"), t.alias("terms"))),
+        F.transform(preferred, lambda p: F.struct(p.alias("text"), F.lit(None).cast("array<string>").alias("terms"))))
+    df = df.withColumn("critical", critical).withColumn("atomic", atomic).withColumn("_lines", F.transform(
+        lines, lambda x: F.struct(x["terms"].alias("terms"), parsed(x["text"]).alias("p"))))
+
+    def unit(x: Column, i: Column, job: Column) -> Column:
+        required = x["terms"].isNotNull()
+        crit = required & F.when(job["atomic"], F.arrays_overlap(x["terms"], job["critical"])).otherwise(i < 2)
         return F.struct(
-            (idx + offset).cast("long").alias("idx"), F.lit(is_required).alias("required"),
-            crit.alias("is_critical"), weight.alias("weight"),
-            (F.array_intersect(F.col("critical"), terms) if is_required else no_list).alias("critical_named"),
-            requirement_unit(text).alias("unit"),
-            F.transform(constituents(text, tech), requirement_unit).alias("parts"))
-
-    units = F.concat(
-        F.transform(required, lambda r, i: line(r, i, True)),
-        F.transform(preferred, lambda p, i: line(p, i, False)))
-    return df.withColumn("units", units)
+            i.cast("long").alias("idx"), required.alias("required"), crit.alias("is_critical"),
+            F.when(crit, 1.0).when(required, 0.8).otherwise(0.4).alias("weight"),
+            F.coalesce(F.array_intersect(job["critical"], x["terms"]), no_list).alias("critical_named"),
+            x["p"]["unit"].alias("unit"), x["p"]["parts"].alias("parts"))
+
+    job = F.struct("critical", "atomic")
+    return df.withColumn("units", let(job, lambda j: F.transform(
+        "_lines", lambda x, i: unit(x, i, j)))).drop("_terms", "_lines")
 
 
 def requirement_weights(prepared: DataFrame) -> DataFrame:

@@ -106,12 +106,12 @@ def m02(spark, sf):
     rows = pairs_for_analysis(spark, sf).select(
         "job_id", "candidate_id",
         F.transform(distinct_clean(F.transform("skills", lambda s: s["name"])), lambda s: F.struct(
-            s.alias("s"), mark_word(s).alias("m"))).alias("skills"),
-        F.explode(distinct_clean(F.concat("requirements", "preferred_skills"))).alias("requirement"))
+            s.alias("name"), mark_word(s).alias("m"))).alias("skills"), "requirements", "preferred_skills")
+    rows = rows.withColumn("requirement", F.explode(distinct_clean(F.concat("requirements", "preferred_skills"))))
     rows = rows.filter(~sk.is_cert_text(F.col("requirement"))).withColumn("mark", mark_bounds("requirement"))
-    hits = F.filter("skills", lambda s: sk.text_match(s["s"], F.col("requirement"), F.lit(False), F.col("mark"), s["m"]))
+    hits = F.filter("skills", lambda s: sk.text_match(s["name"], F.col("requirement"), F.lit(False), F.col("mark"), s["m"]))
     return rows.select("job_id", "candidate_id", "requirement", F.explode(hits).alias("h")).select(
-        "job_id", "candidate_id", "requirement", F.col("h.s").alias("skill"))
+        "job_id", "candidate_id", "requirement", F.col("h.name").alias("skill"))
 
 
 def _analysis(spark, sf, *fields):

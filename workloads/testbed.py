@@ -275,8 +275,16 @@ FLAT_SQL = {
 FLAT_SQL = {name: sql.replace("{{", "{").replace("}}", "}") for name, sql in FLAT_SQL.items()}
 
 
+_LOADED: dict[tuple[str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; its schema is read once per session."""
+    path = f"{sf_dir}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _LOADED:
+        _LOADED[key] = spark.read.parquet(path)
+    return _LOADED[key]
 
 
 def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
