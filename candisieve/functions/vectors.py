@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candisieve.functions.text import let
 from candisieve.functions.topk import top_k_per_key
 
 # Scores are rounded here before ranking, so the order of a sum cannot reorder ties.
@@ -33,7 +34,7 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(c: Column) -> Column:
     """Scale to length one; the zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(x)))
 
 
 def max_similarity(vectors: Column, query: Column) -> Column:

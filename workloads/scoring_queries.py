@@ -231,11 +231,9 @@ def scored(spark, sf, cohort=None):
                            job_vectors(spark, sf), synonyms(spark))
 
 
-@query("k13_final_score", SCORED_SQL + """ SELECT job_id, candidate_id, is_honeypot, round(final_score, 3) AS final_score,
-round(engagement_bonus, 3) AS engagement_bonus FROM scored""")
+@query("k13_final_score", SCORED_SQL + """ SELECT job_id, candidate_id, is_honeypot, final_score, engagement_bonus FROM scored""")
 def k13(spark, sf):
-    return scored(spark, sf).select("job_id", "candidate_id", "is_honeypot", F.round("final_score", 3).alias("final_score"),
-                                    F.round("engagement_bonus", 3).alias("engagement_bonus"))
+    return scored(spark, sf).select("job_id", "candidate_id", "is_honeypot", "final_score", "engagement_bonus")
 
 
 _RANK_COLUMNS = ["job_id", "candidate_id", "rank", "final_score", *sc.BREAKDOWN, "is_honeypot"]
@@ -251,12 +249,11 @@ def k14(spark, sf):
 NO_RARITY_SQL = SCORED_SQL.replace("coalesce(r.rarity, 1)::DOUBLE AS rarity", "1::DOUBLE AS rarity")
 
 
-@query("k15_score_pairs", NO_RARITY_SQL + " SELECT job_id, candidate_id, round(skill_score, 3) AS skill_score, round(final_score, 3) AS final_score FROM scored")
+@query("k15_score_pairs", NO_RARITY_SQL + " SELECT job_id, candidate_id, skill_score, final_score FROM scored")
 def k15(spark, sf):
     out = sc.score_pairs(tb.applications(spark, sf), tb.candidates(spark, sf), tb.jobs(spark, sf),
                          vectors=cand_vectors(spark, sf), job_vectors=job_vectors(spark, sf), synonyms=synonyms(spark))
-    return out.select("job_id", "candidate_id", F.round("skill_score", 3).alias("skill_score"),
-                      F.round("final_score", 3).alias("final_score"))
+    return out.select("job_id", "candidate_id", "skill_score", "final_score")
 
 
 @query("k16_score_cohort", RANKED_SQL + f"SELECT {', '.join(_RANK_COLUMNS)}, is_duplicate FROM ranked")

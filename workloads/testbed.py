@@ -271,6 +271,33 @@ FLAT_SQL = {
           || CASE WHEN d.doc_id % 3 = 0 THEN 'Notice period: 30 days. Salary: 20 LPA' || chr(10) ELSE '' END
           AS raw_text
         FROM {{documents}} d""",
+    # stored results of a run: scores and lists by key arithmetic, the list cut at 100
+    "result": f"""
+        SELECT * FROM (SELECT r.*, CAST(row_number() OVER (PARTITION BY job_id
+            ORDER BY final_score DESC, behavior_score DESC, candidate_id) AS BIGINT) AS rank FROM (
+          SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % s.n END AS job_id,
+            {cid('c.c_custkey')} AS candidate_id, c.c_custkey AS custkey,
+            CAST(c.c_custkey * 37 % 1010 AS DOUBLE) / 10 AS final_score, CAST(c.c_custkey % 41 AS DOUBLE) AS skill_score,
+            CAST(c.c_custkey % 26 AS DOUBLE) AS experience_score, CAST(c.c_custkey % 11 AS DOUBLE) AS education_score,
+            CAST(c.c_custkey % 9 AS DOUBLE) AS project_score, CAST(c.c_custkey * 7 % 10 AS DOUBLE) AS behavior_score,
+            CAST(c.c_custkey % 6 AS DOUBLE) AS availability_score, CAST(c.c_custkey % 3 AS DOUBLE) / 4 AS engagement_bonus,
+            c.c_custkey % 13 = 0 AS is_honeypot
+          FROM {{customer}} c JOIN (SELECT max(s_suppkey) + 1 AS n FROM {{supplier}}) s ON s.n > 0) r) q
+        WHERE rank <= 100""",
+    # the same list as it might have been handed in, with faults
+    "handed_in": f"""
+        SELECT job_id, row_num, CASE WHEN (row_num + job_id) % 53 = 7 THEN CAST(3 AS BIGINT) ELSE CAST(4 AS BIGINT) END AS n_cells,
+          CASE WHEN (row_num + job_id) % 31 = 3 THEN '' WHEN (row_num + job_id) % 37 = 5 THEN 'C_' || candidate_id
+               WHEN (row_num + job_id) % 41 = 6 THEN '{'CAND_0000001'}' ELSE candidate_id END AS candidate_id,
+          CASE WHEN (row_num + job_id) % 29 = 1 THEN '0' || CAST(row_num AS STRING) WHEN (row_num + job_id) % 43 = 2 THEN '101'
+               WHEN (row_num + job_id) % 47 = 4 THEN '2' ELSE ' ' || CAST(row_num AS STRING) END AS rank,
+          CASE WHEN (row_num + job_id) % 59 = 8 THEN 'high' WHEN (row_num + job_id) % 17 = 9 THEN '1e2'
+               ELSE CAST(score AS STRING) END AS score
+        FROM (SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % s.n END AS job_id,
+            {cid('c.c_custkey')} AS candidate_id, CAST(c.c_custkey * 37 % 101 AS BIGINT) AS score,
+            CAST(row_number() OVER (PARTITION BY CASE WHEN c.c_custkey % 3 = 0 THEN 0 ELSE c.c_custkey % s.n END
+              ORDER BY c.c_custkey * 37 % 101 DESC, c.c_custkey) AS BIGINT) AS row_num
+          FROM {{customer}} c JOIN (SELECT max(s_suppkey) + 1 AS n FROM {{supplier}}) s ON s.n > 0) x""",
 }
 FLAT_SQL = {name: sql.replace("{{", "{").replace("}}", "}") for name, sql in FLAT_SQL.items()}
 
@@ -392,3 +419,57 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(spark, sf_dir, "posting")
+
+
+# Which list a requirement line of a stored result stands in.
+_LISTS = {
+    "critical_skills_matched": "l.kind = 'required' AND (r.custkey + l.idx) % 4 = 0",
+    "important_skills_matched": "l.kind = 'required' AND (r.custkey + l.idx) % 4 = 1",
+    "nice_to_have_skills_matched": "l.kind = 'preferred' AND (r.custkey + l.idx) % 2 = 0",
+    "missing_critical_skills": "l.kind = 'required' AND (r.custkey + l.idx) % 4 = 2",
+    "matched_skills": "l.kind = 'required' AND (r.custkey + l.idx) % 4 <= 1",
+    "missing_skills": "(r.custkey + l.idx) % 4 >= 2",
+}
+_LINE = "l.line || CASE WHEN (r.custkey + l.idx) % 5 = 0 THEN ' (via Python)' ELSE '' END"
+
+
+def results(spark: SparkSession, sf_dir: str, profile: bool = True) -> DataFrame:
+    """Stored results with their lists and display fields."""
+    from candisieve.operators.profile import build_profile
+
+    r, lines = flat(spark, sf_dir, "result"), flat(spark, sf_dir, "job_line")
+    lists = [
+        f"transform(sort_array(collect_list(CASE WHEN {test} THEN struct(l.idx, {_LINE} AS line) END)), x -> x.line) AS {name}"
+        for name, test in _LISTS.items()]
+    grouped = spark.sql(f"""SELECT r.job_id, r.candidate_id, {", ".join(lists)},
+        transform(sort_array(collect_list(CASE WHEN l.kind = 'required' THEN struct(l.idx, l.line) END)), x -> x.line) AS requirements,
+        transform(sort_array(collect_list(CASE WHEN l.kind = 'preferred' THEN struct(l.idx, l.line) END)), x -> x.line) AS preferred_skills
+      FROM {{r}} r JOIN {{l}} l ON l.job_id = r.job_id GROUP BY r.job_id, r.candidate_id""", r=r, l=lines)
+    out = r.drop("custkey").join(grouped, ["job_id", "candidate_id"])
+    if not profile:
+        return out
+    cand = build_profile(candidates(spark, sf_dir)).select(
+        "candidate_id", "name", "headline", "summary", "current_title", "current_company", "years_of_experience",
+        "location", "open_to_work", F.col("notice_period_days").cast("long").alias("notice_period_days"),
+        F.transform("skills", lambda s: s["name"]).alias("skills"), F.col("skills").alias("skill_items"),
+        "career_history", "education", "certifications",
+        F.col("signals.recruiter_response_rate").alias("recruiter_response_rate"))
+    job = flat(spark, sf_dir, "job").select("job_id", F.col("title").alias("job_title"))
+    return out.join(cand, "candidate_id").join(job, "job_id").withColumn(
+        "reasoning", F.concat(F.lit("Ranked "), F.col("rank").cast("string")))
+
+
+def d_results(*more: str) -> str:
+    """The same as flat tables for the checking SQL: ``result``, ``entry`` (one row per
+    list entry) and ``res`` (result with display fields)."""
+    names = ["result", "job_line", "job", "cand", *more]
+    entry = " UNION ALL ".join(
+        f"SELECT r.job_id, r.candidate_id, '{name}' AS list, l.idx, {_LINE} AS line FROM result r JOIN job_line l ON l.job_id = r.job_id WHERE {test}"
+        for name, test in _LISTS.items())
+    return with_flat(*dict.fromkeys(names)).rstrip() + f""",
+entry AS (SELECT *, trim(string_split(line, ' (via')[1]) AS clean FROM ({entry}) e),
+res AS (SELECT r.*, trim(regexp_replace(c.name, '\\s+', ' ', 'g')) AS name, c.title AS current_title, c.company AS current_company, c.years,
+    trim(regexp_replace(concat_ws(', ', nullif(c.location, ''), nullif(c.country, '')), '\\s+', ' ', 'g')) AS location,
+    c.open_to_work, c.notice_days, c.response_rate, c.summary, c.headline, j.title AS job_title, 'Ranked ' || r.rank AS reasoning
+  FROM result r JOIN cand c USING (candidate_id) JOIN job j ON j.job_id = r.job_id)
+"""
