@@ -275,14 +275,14 @@ FLAT_SQL = {
     "result": f"""
         SELECT * FROM (SELECT r.*, CAST(row_number() OVER (PARTITION BY job_id
             ORDER BY final_score DESC, behavior_score DESC, candidate_id) AS BIGINT) AS rank FROM (
-          SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % s.n END AS job_id,
+          SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % (SELECT max(s_suppkey) + 1 FROM {{supplier}}) END AS job_id,
             {cid('c.c_custkey')} AS candidate_id, c.c_custkey AS custkey,
             CAST(c.c_custkey * 37 % 1010 AS DOUBLE) / 10 AS final_score, CAST(c.c_custkey % 41 AS DOUBLE) AS skill_score,
             CAST(c.c_custkey % 26 AS DOUBLE) AS experience_score, CAST(c.c_custkey % 11 AS DOUBLE) AS education_score,
             CAST(c.c_custkey % 9 AS DOUBLE) AS project_score, CAST(c.c_custkey * 7 % 10 AS DOUBLE) AS behavior_score,
             CAST(c.c_custkey % 6 AS DOUBLE) AS availability_score, CAST(c.c_custkey % 3 AS DOUBLE) / 4 AS engagement_bonus,
             c.c_custkey % 13 = 0 AS is_honeypot
-          FROM {{customer}} c JOIN (SELECT max(s_suppkey) + 1 AS n FROM {{supplier}}) s ON s.n > 0) r) q
+          FROM {{customer}} c) r) q
         WHERE rank <= 100""",
     # the same list as it might have been handed in, with faults
     "handed_in": f"""
@@ -293,11 +293,11 @@ FLAT_SQL = {
                WHEN (row_num + job_id) % 47 = 4 THEN '2' ELSE ' ' || CAST(row_num AS STRING) END AS rank,
           CASE WHEN (row_num + job_id) % 59 = 8 THEN 'high' WHEN (row_num + job_id) % 17 = 9 THEN '1e2'
                ELSE CAST(score AS STRING) END AS score
-        FROM (SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % s.n END AS job_id,
+        FROM (SELECT CASE WHEN c.c_custkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE c.c_custkey % (SELECT max(s_suppkey) + 1 FROM {{supplier}}) END AS job_id,
             {cid('c.c_custkey')} AS candidate_id, CAST(c.c_custkey * 37 % 101 AS BIGINT) AS score,
-            CAST(row_number() OVER (PARTITION BY CASE WHEN c.c_custkey % 3 = 0 THEN 0 ELSE c.c_custkey % s.n END
+            CAST(row_number() OVER (PARTITION BY CASE WHEN c.c_custkey % 3 = 0 THEN 0 ELSE c.c_custkey % (SELECT max(s_suppkey) + 1 FROM {{supplier}}) END
               ORDER BY c.c_custkey * 37 % 101 DESC, c.c_custkey) AS BIGINT) AS row_num
-          FROM {{customer}} c JOIN (SELECT max(s_suppkey) + 1 AS n FROM {{supplier}}) s ON s.n > 0) x""",
+          FROM {{customer}} c) x""",
 }
 FLAT_SQL = {name: sql.replace("{{", "{").replace("}}", "}") for name, sql in FLAT_SQL.items()}
 
@@ -384,12 +384,12 @@ def candidates(
     columns = []
     for field in CANDIDATE_SCHEMA.fields:
         kind = field.dataType
-        if field.name in parts:
-            value = F.col(field.name).cast(kind)
-            if field.name in _REQUIRED_PARTS:
-                value = F.coalesce(value, F.array().cast(kind))
+        # No cast where the column exists: its types already are those of the schema, and
+        # a cast of a whole struct would hide its fields from the optimiser.
+        if field.name in parts and field.name in _REQUIRED_PARTS:
+            value = F.coalesce(F.col(field.name), F.array().cast(kind))
         elif field.name in out.columns:
-            value = F.col(field.name).cast(kind) if field.name != "candidate_id" else F.col("candidate_id")
+            value = F.col(field.name)
         elif field.name in _REQUIRED_PARTS:
             value = F.array().cast(kind)
         else:
