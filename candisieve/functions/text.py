@@ -15,17 +15,21 @@ BOUND = "\u0001"
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 
 
+# White space of every script, as a character class body.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
     """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def squash(c) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)\s+", " ")
+    return F.regexp_replace(_col(c), f"[{SPACE}]+", " ")
 
 
 def norm_raw(c) -> Column:
@@ -106,7 +110,8 @@ def sql_value(value) -> str:
     Constant tables go to Spark as one SQL literal each, which the optimiser folds.
     """
     if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+        return "'" + escaped + "'"
     if isinstance(value, Mapping):
         return "map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in value.items()) + ")"
     if isinstance(value, (list, tuple)):

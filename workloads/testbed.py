@@ -418,7 +418,9 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(spark, sf_dir, "posting")
+    """Raw postings, spread evenly: reading them is cheap, parsing them is not."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return flat(spark, sf_dir, "posting").repartition(n, "job_id")
 
 
 # Which list a requirement line of a stored result stands in.
