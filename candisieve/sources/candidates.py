@@ -9,30 +9,38 @@ from pyspark.sql import types as T
 from candisieve.functions.fixed_values import ID_PATTERN
 from candisieve.functions.text import strip
 
-CANDIDATE_SCHEMA = T.StructType.fromDDL(
-    """candidate_id STRING,
-    profile STRUCT<anonymized_name: STRING, headline: STRING, summary: STRING, location: STRING,
-      country: STRING, years_of_experience: DOUBLE, current_title: STRING, current_company: STRING,
-      current_company_size: STRING, current_industry: STRING>,
-    career_history ARRAY<STRUCT<company: STRING, title: STRING, start_date: STRING,
-      end_date: STRING, duration_months: INT, is_current: BOOLEAN, industry: STRING,
-      company_size: STRING, description: STRING>>,
-    education ARRAY<STRUCT<institution: STRING, degree: STRING, field_of_study: STRING,
-      start_year: INT, end_year: INT, grade: STRING, tier: STRING>>,
-    skills ARRAY<STRUCT<name: STRING, proficiency: STRING, endorsements: INT,
-      duration_months: INT>>,
-    certifications ARRAY<STRUCT<name: STRING, issuer: STRING, year: INT>>,
-    languages ARRAY<STRUCT<language: STRING, proficiency: STRING>>,
-    signals STRUCT<profile_completeness_score: DOUBLE, signup_date: STRING,
-      last_active_date: STRING, open_to_work_flag: BOOLEAN, profile_views_received_30d: INT,
-      applications_submitted_30d: INT, recruiter_response_rate: DOUBLE,
-      avg_response_time_hours: DOUBLE, skill_assessment_scores: MAP<STRING, DOUBLE>,
-      connection_count: INT, endorsements_received: INT, notice_period_days: INT,
-      expected_salary_range_inr_lpa: STRUCT<min: DOUBLE, max: DOUBLE>,
-      preferred_work_mode: STRING, willing_to_relocate: BOOLEAN, github_activity_score: DOUBLE,
-      search_appearance_30d: INT, saved_by_recruiters_30d: INT,
-      interview_completion_rate: DOUBLE, offer_acceptance_rate: DOUBLE,
-      verified_email: BOOLEAN, verified_phone: BOOLEAN, linkedin_connected: BOOLEAN>"""
+_STRING, _INT, _DOUBLE, _BOOL = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CANDIDATE_SCHEMA = _struct(
+    candidate_id=_STRING,
+    profile=_struct(
+        anonymized_name=_STRING, headline=_STRING, summary=_STRING, location=_STRING, country=_STRING,
+        years_of_experience=_DOUBLE, current_title=_STRING, current_company=_STRING,
+        current_company_size=_STRING, current_industry=_STRING),
+    career_history=T.ArrayType(_struct(
+        company=_STRING, title=_STRING, start_date=_STRING, end_date=_STRING, duration_months=_INT,
+        is_current=_BOOL, industry=_STRING, company_size=_STRING, description=_STRING)),
+    education=T.ArrayType(_struct(
+        institution=_STRING, degree=_STRING, field_of_study=_STRING, start_year=_INT, end_year=_INT,
+        grade=_STRING, tier=_STRING)),
+    skills=T.ArrayType(_struct(name=_STRING, proficiency=_STRING, endorsements=_INT, duration_months=_INT)),
+    certifications=T.ArrayType(_struct(name=_STRING, issuer=_STRING, year=_INT)),
+    languages=T.ArrayType(_struct(language=_STRING, proficiency=_STRING)),
+    signals=_struct(
+        profile_completeness_score=_DOUBLE, signup_date=_STRING, last_active_date=_STRING,
+        open_to_work_flag=_BOOL, profile_views_received_30d=_INT, applications_submitted_30d=_INT,
+        recruiter_response_rate=_DOUBLE, avg_response_time_hours=_DOUBLE,
+        skill_assessment_scores=T.MapType(_STRING, _DOUBLE), connection_count=_INT,
+        endorsements_received=_INT, notice_period_days=_INT,
+        expected_salary_range_inr_lpa=_struct(min=_DOUBLE, max=_DOUBLE), preferred_work_mode=_STRING,
+        willing_to_relocate=_BOOL, github_activity_score=_DOUBLE, search_appearance_30d=_INT,
+        saved_by_recruiters_30d=_INT, interview_completion_rate=_DOUBLE, offer_acceptance_rate=_DOUBLE,
+        verified_email=_BOOL, verified_phone=_BOOL, linkedin_connected=_BOOL),
 )
 
 CORRUPT = "_corrupt"
