@@ -114,14 +114,14 @@ def vector_topk(
 
         def block_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame({"job_id": [], "id": [], "score": []})
+                return pd.DataFrame({"job_id": [], "id": [], "score": []})  # block without partner
             return _search(right["job_id"].to_numpy(), _stack(right["q"]),
                            iter([(left["id"].to_numpy(), _stack(left["v"]))]), k)
 
         left = items.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = wanted.withColumn("block", F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int")).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+            "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         partial = (left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
                    .applyInPandas(block_kernel, schema))
     return top_k_per_key(

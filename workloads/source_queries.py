@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candisieve.operators import retrieval as rt
 from candisieve.plans.funnel import bm25_stage, funnel, lexical_stage
-from candisieve.session import scratch_path
+from candisieve.session import materialize, scratch_path
 from candisieve.sources import candidates as sc
 from candisieve.sources import postings as sp
 from candisieve.sources import results as sr
@@ -208,8 +208,11 @@ def r13_lexical(spark, sf):
 
 @query("r13_funnel")
 def r13(spark, sf):
-    out = funnel(tb.jobs(spark, sf), tb.candidates(spark, sf), cand_vectors(spark, sf), job_vectors(spark, sf), SIZES,
-                 STOP, synonyms(spark))
+    # Every stage reads the candidates again, so the derived ones are stored first.
+    cand = materialize(tb.candidates(spark, sf), "candidates")
+    job = materialize(tb.jobs(spark, sf), "jobs")
+    vectors = materialize(cand_vectors(spark, sf), "vectors")
+    out = funnel(job, cand, vectors, job_vectors(spark, sf), SIZES, STOP, synonyms(spark))
     return out.select("job_id", "candidate_id", "rank", "final_score", "is_honeypot", "reasoning")
 
 
