@@ -29,7 +29,8 @@ def strip(c) -> Column:
 
 
 def squash(c) -> Column:
-    return F.regexp_replace(_col(c), f"[{SPACE}]+", " ")
+    # Single blanks, by far the most frequent, are not matched.
+    return F.regexp_replace(_col(c), f"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
 
 
 def norm_raw(c) -> Column:

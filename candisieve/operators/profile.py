@@ -59,15 +59,15 @@ def skills_text() -> Column:
 
 
 def profile_text() -> Column:
-    """P08."""
-    return norm_text(F.concat_ws(" ", *[
+    """P08. The parts are normalised, so joining the non-empty ones leaves nothing to clean."""
+    return F.lower(_parts(*[
         norm_raw(_p(f)) for f in
         ["anonymized_name", "headline", "summary", "current_title", "current_company"]]))
 
 
 def career_text() -> Column:
     """P09."""
-    return norm_text(F.concat_ws(" ", profile_text(), work_history_text()))
+    return _parts(profile_text(), work_history_text())
 
 
 def education_text() -> Column:
