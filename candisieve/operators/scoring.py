@@ -20,6 +20,7 @@ from candisieve.operators.profile import build_profile
 from candisieve.operators.skills import (
     attach_rarity, classify, prepare_candidates, prepare_jobs, skill_matches, skill_rarity,
 )
+from candisieve.session import materialize
 
 YEARS = "years_of_experience"
 BREAKDOWN = [
@@ -318,8 +319,11 @@ def rank_top(scored: DataFrame, n: int = 100) -> DataFrame:
 
 
 def rank_cohort(scored: DataFrame, n: int = 100, top: int = 100) -> DataFrame:
-    """A14 then K14: duplicates demoted, then the first ``n`` rows."""
-    return rank_top(demote_duplicates(scored, top), n)
+    """A14 then K14: duplicates demoted, then the first ``n`` rows.
+
+    The pass over duplicates reads the scores twice, so they are written once.
+    """
+    return rank_top(demote_duplicates(materialize(scored, "scored"), top), n)
 
 
 def score_one(cand: DataFrame, jobs: DataFrame, candidate_id: str, job_id, **vectors) -> DataFrame:
