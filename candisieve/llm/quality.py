@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("label is not null")
     ranked = rows.withColumn("rank", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1))
     share = min(1.0, most_rows / max(1, rows.count()))
-    chosen = ranked.where(F.col("rank") <= int(share * (2**63 - 1))).repartition(1).sortWithinPartitions("rank", "label")
+    chosen = ranked.where(F.col("rank") <= min(2**63 - 1, int(share * 2**63))).repartition(1).sortWithinPartitions("rank", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
