@@ -103,10 +103,11 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     docs = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
     index = exact_index(docs, capacity)
-    probe = keyed(docs).select("doc_id", "key", "text_sha256")
-    met = probe.join(index, ["key", "text_sha256"])
+    # Repeats are numbered before the join, so that the join alone decides how its rows are dealt and
+    # a hash with many rows can be split.
     again = F.row_number().over(Window.partitionBy("doc_id", "key", "text_sha256").orderBy(F.lit(0)))
-    return met.withColumn("again", again).select(
+    probe = keyed(docs).select("doc_id", "key", "text_sha256").withColumn("again", again)
+    return probe.join(index, ["key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"),
         "text_sha256", "bucket", "chain")
