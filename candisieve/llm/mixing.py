@@ -19,7 +19,7 @@ from candisieve.session import materialize
 WEIGHTS = (3, 1, 2)
 SLOPES = (0.5, -0.5, 0.0)
 SHARE, MOST_PASSES = 1.5, 2
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
