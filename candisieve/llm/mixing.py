@@ -69,7 +69,7 @@ def when_reached(part: Column, slope: Column) -> Column:
     return F.when(slope == 0, part).otherwise((root - (1 - slope)) / (2 * slope)) + F.lit(0.0)  # no negative zero
 
 
-def mix_sources(
+def place_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES,
     share: float = SHARE, passes: int = MOST_PASSES,
@@ -78,8 +78,7 @@ def mix_sources(
 
     ``copies`` counts the passes that take words from the document and ``taken`` counts the words the mix takes from the document over all passes; the last pass ends
     inside the document at which the target is met. ``position`` is the training time of the first
-    copy and ``last_position`` that of the last, null where nothing is taken. Rows are sorted by
-    position over ranges; documents that are not taken come last.
+    copy and ``last_position`` that of the last, null where nothing is taken.
 
     Order within a source is by a hash of the key, then the key, so reruns agree. Null sources form
     one source after all others; null or empty texts have size 0 and are taken 0 times; repeated
@@ -114,9 +113,16 @@ def mix_sources(
     return (counted.withColumn("copies", copies)
             .select("doc_id", "source", "size", "source_size", "target", "taken", "copies",
                     F.when(F.col("taken") > 0, at(F.lit(0))).alias("position"),
-                    F.when(F.col("taken") > 0, at(F.col("copies") - 1)).alias("last_position"))
-            .repartitionByRange(F.col("position").asc_nulls_last())
-            .sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id"))
+                    F.when(F.col("taken") > 0, at(F.col("copies") - 1)).alias("last_position")))
+
+
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``place_sources`` sorted by position over ranges; documents that are not taken come last.
+
+    The id is part of the ranges, so documents without a position do not meet in one task.
+    """
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return place_sources(docs, **settings).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -125,7 +131,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Documents stay whole: the one at which a source's target is met is served in its last pass if at
     least half of it is taken. Rows that repeat a doc_id are served equally often.
     """
-    mix = mix_sources(docs, **settings)
+    mix = place_sources(docs, **settings)
     whole = F.floor((F.col("taken") + F.col("size") / 2) / F.greatest("size", F.lit(1))).cast("int")
     plan = mix.groupBy("doc_id").agg(F.max(whole).alias("_times"), F.min("position").alias("_first"), F.max("last_position").alias("_last"))
     plan = plan.withColumnRenamed("doc_id", "_key").where("_times > 0")
