@@ -17,10 +17,8 @@ from candisieve.functions.topk import top_k_per_key
 # Scores are rounded here before ranking, so the order of a sum cannot reorder ties.
 SCORE_DIGITS = 9
 
-# Query matrices up to this size are copied to every task; larger ones are split.
-QUERY_BYTES = 64 << 20
-# Vectors one task holds at a time on the split path.
-GROUP_BYTES = 256 << 20
+# Queries and vectors of one block, and the scores a task holds at a time.
+BLOCK_QUERIES, BLOCK_VECTORS, MOST_SCORES = 2_048, 16_384, 4 << 20
 
 
 def as_vector(c) -> Column:
@@ -52,21 +50,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
-def _search(query_ids, matrix: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int):
-    """Running top-k of every query over batches of (ids, vectors)."""
-    found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
-    for ids, vectors in batches:
-        scores = np.round(vectors @ matrix.T, SCORE_DIGITS)
-        for q in range(len(query_ids)):
-            column, names = scores[:, q], ids
-            if found[q] is not None:
-                column = np.concatenate([found[q][0], column])
-                names = np.concatenate([found[q][1], names])
-            best = _best(column, names, k)
-            found[q] = (column[best], names[best])
-    frames = [pd.DataFrame({"job_id": query_ids[q], "id": f[1], "score": f[0]})
-              for q, f in enumerate(found) if f is not None]
-    return pd.concat(frames) if frames else None
+def _search(query_ids, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of a block of vectors for every query, ``MOST_SCORES`` scores at a time."""
+    step = max(1, MOST_SCORES // max(1, len(ids)))
+    frames = []
+    for lo in range(0, len(query_ids), step):
+        scores = np.round(matrix[lo: lo + step] @ vectors.T, SCORE_DIGITS)
+        best = [_best(row, ids, k) for row in scores]
+        frames.append(pd.DataFrame({
+            "job_id": np.repeat(query_ids[lo: lo + step], [len(b) for b in best]), "id": ids[np.concatenate(best)],
+            "score": np.concatenate([row[b] for row, b in zip(scores, best)])}))
+    return pd.concat(frames)
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -79,51 +73,34 @@ def vector_topk(
 ) -> DataFrame:
     """The k vectors of highest inner product per query, exact over all vectors.
 
-    Every task multiplies its vectors with the query matrix and keeps k rows per query,
-    so only the best rows of each task are shuffled. The matrix is copied to the tasks
-    when its measured size is within ``QUERY_BYTES``; beyond that queries and vectors
-    meet in blocks of bounded size on both sides. Ties go to the smaller id.
+    Queries and vectors meet in blocks of bounded size on both sides, at every size of
+    either; a block keeps k rows per query, and only those are shuffled again. Ties go to
+    the smaller id.
     """
-    spark = vectors.sparkSession
     items = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     wanted = queries.select(F.col(query_id).alias("job_id"), F.col(query_vector).alias("q"))
-    n_queries, dim = wanted.agg(F.count("*"), F.max(F.size("q"))).first()
     schema = T.StructType([
         T.StructField("job_id", wanted.schema["job_id"].dataType),
         T.StructField("id", items.schema["id"].dataType),
         T.StructField("score", T.DoubleType())])
-    query_bytes = n_queries * (dim or 0) * 8
-    if n_queries == 0:
-        partial = spark.createDataFrame([], schema)
-    elif query_bytes <= QUERY_BYTES:
-        local = wanted.orderBy("job_id").toPandas()
-        shared = spark.sparkContext.broadcast((local["job_id"].to_numpy(), _stack(local["q"])))
-
-        def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix = shared.value
-            batches = ((f["id"].to_numpy(), _stack(f["v"])) for f in frames if len(f))
-            out = _search(query_ids, matrix, batches, k)
-            if out is not None:
-                yield out
-
-        partial = items.mapInPandas(kernel, schema)
-    else:
-        blocks = math.ceil(query_bytes / QUERY_BYTES)
-        n_items = items.count()
-        salts = max(1, math.ceil(n_items * dim * 8 / GROUP_BYTES))
-
-        def block_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"job_id": [], "id": [], "score": []})  # block without partner
-            return _search(right["job_id"].to_numpy(), _stack(right["q"]),
-                           iter([(left["id"].to_numpy(), _stack(left["v"]))]), k)
-
-        left = items.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = wanted.withColumn("block", F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int")).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        partial = (left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
-                   .applyInPandas(block_kernel, schema))
+    blocks = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
+    salts = max(1, math.ceil(items.count() / BLOCK_VECTORS))
+
+    def block_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"job_id": [], "id": [], "score": []})  # block without partner
+        return _search(right["job_id"].to_numpy(), _stack(right["q"]), left["id"].to_numpy(), _stack(left["v"]), k)
+
+    def spread(key: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = items.withColumn("salt", spread("id", salts)).withColumn("block", every(blocks))
+    right = wanted.withColumn("block", spread("job_id", blocks)).withColumn("salt", every(salts))
+    partial = (left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
+               .applyInPandas(block_kernel, schema))
     return top_k_per_key(
         partial, ["job_id"], [F.desc("score"), F.asc("id")], k, ["id"]
     ).withColumnRenamed("id", id_col)

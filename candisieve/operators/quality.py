@@ -57,15 +57,15 @@ def check_shape(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
         _report(cells, keys, "cell_count", F.col("row_num")))
 
 
-def check_ids(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
+def check_ids(sub: DataFrame, keys: Sequence[str], id_pattern: str = ID_PATTERN) -> DataFrame:
     """Id given, well formed, and not used before."""
     rows = _whole(sub).withColumn("_id", _cell("candidate_id"))
-    formed = rows.filter(F.col("_id").rlike(ID_PATTERN))
+    formed = rows.filter(F.col("_id").rlike(id_pattern))
     nth = F.row_number().over(Window.partitionBy(*keys, "_id").orderBy("row_num"))
     repeated = formed.withColumn("_nth", nth).filter("_nth > 1")
     return reduce(DataFrame.unionByName, [
         _report(rows.filter("_id = ''"), keys, "id_missing", F.col("row_num")),
-        _report(rows.filter((F.col("_id") != "") & ~F.col("_id").rlike(ID_PATTERN)), keys, "id_pattern", F.col("row_num")),
+        _report(rows.filter((F.col("_id") != "") & ~F.col("_id").rlike(id_pattern)), keys, "id_pattern", F.col("row_num")),
         _report(repeated, keys, "id_duplicate", F.col("row_num"))])
 
 

@@ -30,12 +30,14 @@ def build_session(app_name: str = "candisieve", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only where the session names none (tests on one machine) a temporary folder is
-    made and set for the rest of the session.
+    Without one a session on a single machine gets a temporary folder, set for its rest; on a
+    cluster, where executors would each see their own, that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="candisieve-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -113,7 +113,7 @@ def _every(array: Column, test) -> Column:
     return F.forall(array, test)
 
 
-def ranges_ok() -> Column:
+def ranges_ok(id_pattern: str = ID_PATTERN) -> Column:
     """Row predicate of S03: id pattern, bounds and required fields of every level."""
     p, s = F.col("profile"), F.col("signals")
     names = [f.name for f in CANDIDATE_SCHEMA["profile"].dataType.fields]
@@ -122,7 +122,7 @@ def ranges_ok() -> Column:
         "profile_views_received_30d", "applications_submitted_30d", "avg_response_time_hours",
         "connection_count", "endorsements_received", "search_appearance_30d",
         "saved_by_recruiters_30d"]
-    ok = F.col("candidate_id").rlike(ID_PATTERN)
+    ok = F.col("candidate_id").rlike(id_pattern)
     ok = ok & p.isNotNull() & _all_set(p, names)
     ok = ok & p["years_of_experience"].between(0, 50)
     ok = ok & s.isNotNull() & _all_set(s, signal_names)
@@ -154,29 +154,31 @@ def ranges_ok() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def validate_ranges(df: DataFrame) -> DataFrame:
+def validate_ranges(df: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
     """Add ``ranges_ok``."""
-    return df.withColumn("ranges_ok", ranges_ok())
+    return df.withColumn("ranges_ok", ranges_ok(id_pattern))
 
 
-def reject_reason(required_schema: dict | None = None) -> Column:
+def reject_reason(required_schema: dict | None = None, id_pattern: str = ID_PATTERN) -> Column:
     """Why a parsed row is rejected; null for a valid row. First failing check wins."""
     return (
         F.when(F.try_parse_json(F.col("value")).isNull(), "bad_json")
         .when(~required_ok(required_schema, F.col("value")), "missing_key")
-        .when(F.col(CORRUPT).isNotNull() | ~ranges_ok(), "bad_value")
+        .when(F.col(CORRUPT).isNotNull() | ~ranges_ok(id_pattern), "bad_value")
     )
 
 
-def with_reject_reason(parsed: DataFrame, required_schema: dict | None = None) -> DataFrame:
-    return parsed.withColumn("reject_reason", reject_reason(required_schema))
+def with_reject_reason(
+    parsed: DataFrame, required_schema: dict | None = None, id_pattern: str = ID_PATTERN,
+) -> DataFrame:
+    return parsed.withColumn("reject_reason", reject_reason(required_schema, id_pattern))
 
 
 def split_valid(
-    parsed: DataFrame, required_schema: dict | None = None,
+    parsed: DataFrame, required_schema: dict | None = None, id_pattern: str = ID_PATTERN,
 ) -> tuple[DataFrame, DataFrame]:
     """Valid candidates, and quarantined lines with their reason."""
-    marked = with_reject_reason(parsed, required_schema)
+    marked = with_reject_reason(parsed, required_schema, id_pattern)
     good = marked.filter("reject_reason IS NULL").select(*CANDIDATE_SCHEMA.fieldNames())
     bad = marked.filter("reject_reason IS NOT NULL").select("value", "reject_reason")
     return good, bad

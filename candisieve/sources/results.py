@@ -57,9 +57,11 @@ def read_submission_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """The full evaluation, one partition folder per job."""
-    results.repartition("job_id", F.pmod(F.xxhash64("candidate_id"), F.lit(16))).write.partitionBy(
-        "job_id").mode("append").parquet(path)
+    """The full evaluation, one partition folder per job.
+
+    Rows of a job are brought together; adaptive execution splits a large job into tasks by size.
+    """
+    results.hint("rebalance", "job_id").write.partitionBy("job_id").mode("append").parquet(path)
 
 
 def run_metrics(ranked: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, checks = entry.queries(), entry.oracle_sql()
-    bad = []
+    bad, unchecked = [], []
     for name, fn in queries.items():
         if prefixes and not name.startswith(prefixes):
             continue
@@ -76,13 +76,14 @@ def main() -> None:
             if name in checks:
                 ok, why, n = compare(name, df, con, checks[name])
             else:
-                ok, why, n = True, "(rows only)", len(df.collect())
+                ok, why, n = None, "no SQL to compare with", len(df.collect())
         except Exception as error:  # report and go on
             ok, why, n = False, str(error)[:1500], -1
-        print(f"{'ok  ' if ok else 'FAIL'} {name:42s} {n:7d} rows {time.time() - start:6.2f}s {why}", flush=True)
+        print(f"{'ok  ' if ok else 'none' if ok is None else 'FAIL'} {name:42s} {n:7d} rows {time.time() - start:6.2f}s {why}", flush=True)
         if not ok:
-            bad.append(name)
-    print("failed:", bad)
+            (unchecked if ok is None else bad).append(name)
+    print("failed:", bad, "without a check:", unchecked)
+    sys.exit(bool(bad or unchecked))
 
 
 if __name__ == "__main__":

@@ -52,8 +52,9 @@ def test_vector_search_paths_agree(spark, monkeypatch):
     def run():
         return {(r.job_id, r.vec_id, r["rank"]) for r in vec.vector_topk(items, queries, 5, "vec_id").collect()}
     small = run()
-    monkeypatch.setattr(vec, "QUERY_BYTES", 128)
-    monkeypatch.setattr(vec, "GROUP_BYTES", 4096)
+    monkeypatch.setattr(vec, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vec, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(vec, "MOST_SCORES", 60)
     assert run() == small and len(small) == 100
 
 
@@ -98,3 +99,9 @@ def test_duplicates_are_demoted_once(spark):
         "years_of_experience double, current_title string")
     got = [(r.candidate_id, r.final_score) for r in rank_cohort(rows, 10).orderBy("rank").collect()]
     assert got == [("c0", 90.0), ("c1", 89.0), ("c3", 87.0), ("c2", 8.8)]
+
+
+def test_ids_keep_all_digits(spark):
+    from workloads.testbed import cid
+    got = spark.sql(f"SELECT {cid('k')} AS c FROM VALUES (7), (10000000), (10000001) AS t(k)")
+    assert [r.c for r in got.collect()] == ["CAND_0000007", "CAND_10000000", "CAND_10000001"]

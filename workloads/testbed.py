@@ -91,7 +91,8 @@ def _times(n: int, body: str) -> str:
     return " UNION ALL ".join(body.replace("$i", str(i)) for i in range(n))
 
 
-CANDIDATE_ID = "'CAND_' || lpad(CAST({key} AS STRING), 7, '0')"
+# At least seven digits; longer keys keep all of theirs.
+CANDIDATE_ID = ("'CAND_' || lpad(CAST({key} AS STRING), CAST(greatest(length(CAST({key} AS STRING)), 7) AS INT), '0')")
 
 
 def cid(key: str) -> str:
