@@ -15,7 +15,8 @@ BOUND = "\u0001"
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 
 
-# White space of every script, as a character class body.
+# White space of every script, as character class bodies: all kinds but the blank, and all.
+NOT_BLANK = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -29,8 +30,12 @@ def strip(c) -> Column:
 
 
 def squash(c) -> Column:
-    # Single blanks, by far the most frequent, are not matched.
-    return F.regexp_replace(_col(c), f"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
+    """Runs of white space of any kind as one blank.
+
+    A plain class turns the rare kinds into blanks; runs are sought only where some remain.
+    """
+    flat = F.regexp_replace(_col(c), f"[{NOT_BLANK}]", " ")
+    return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
 
 
 def norm_raw(c) -> Column:

@@ -216,7 +216,16 @@ def rank_order() -> list[Column]:
     return [F.desc("final_score"), F.desc("behavior_score"), F.asc("candidate_id")]
 
 
-def demote_duplicates(scored: DataFrame, top: int = 100, factor: float = 0.1) -> DataFrame:
+DUPLICATE_FACTOR = 0.1
+
+
+def same_person():
+    """Rows of a job with equal name, years and title, by ``_rank``."""
+    return Window.partitionBy(
+        "job_id", lower_strip(F.col("name")), "years_of_experience", lower_strip(F.col("current_title"))).orderBy("_rank")
+
+
+def demote_duplicates(scored: DataFrame, top: int = 100, factor: float = DUPLICATE_FACTOR) -> DataFrame:
     """Among the first ``top`` rows of each job, all but the best of equal (name,
     years, title) get ``factor`` of their score. One pass: rows that move up are not
     checked again. Adds ``is_duplicate``; row count is unchanged.
@@ -227,11 +236,8 @@ def demote_duplicates(scored: DataFrame, top: int = 100, factor: float = 0.1) ->
         scored.select("job_id", "candidate_id", "final_score", "behavior_score", "name",
                       "years_of_experience", "current_title"),
         ["job_id"], rank_order(), top, ["candidate_id"], rank_col="_rank")
-    same = Window.partitionBy(
-        "job_id", lower_strip(F.col("name")), "years_of_experience", lower_strip(F.col("current_title"))
-    ).orderBy("_rank")
     marks = (
-        head.withColumn("_nth", F.row_number().over(same)).filter("_nth > 1")
+        head.withColumn("_nth", F.row_number().over(same_person())).filter("_nth > 1")
         .select("job_id", "candidate_id", F.lit(True).alias("is_duplicate"))
     )
     return (

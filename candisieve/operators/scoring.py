@@ -15,12 +15,11 @@ from candisieve.functions.text import (
 )
 from candisieve.functions.topk import top_k_per_key
 from candisieve.functions.vectors import as_vector, dot, l2_normalize, max_similarity
-from candisieve.operators.anomaly import demote_duplicates, rank_order, with_confidence
+from candisieve.operators.anomaly import DUPLICATE_FACTOR, rank_order, same_person, with_confidence
 from candisieve.operators.profile import build_profile
 from candisieve.operators.skills import (
     attach_rarity, classify, prepare_candidates, prepare_jobs, skill_matches, skill_rarity,
 )
-from candisieve.session import materialize
 
 YEARS = "years_of_experience"
 BREAKDOWN = [
@@ -321,9 +320,13 @@ def rank_top(scored: DataFrame, n: int = 100) -> DataFrame:
 def rank_cohort(scored: DataFrame, n: int = 100, top: int = 100) -> DataFrame:
     """A14 then K14: duplicates demoted, then the first ``n`` rows.
 
-    The pass over duplicates reads the scores twice, so they are written once.
+    Demotion moves at most ``top`` rows of a job down, so its first ``n + top`` rows hold all
+    that can be among the first ``n`` afterwards: they are cut once and marked where they are.
     """
-    return rank_top(demote_duplicates(materialize(scored, "scored"), top), n)
+    cut = top_k_per_key(scored, ["job_id"], rank_order(), n + top, ["candidate_id"], rank_col="_rank")
+    marked = cut.withColumn("is_duplicate", (F.col("_rank") <= top) & (F.row_number().over(same_person()) > 1))
+    demoted = F.when(F.col("is_duplicate"), F.round(F.col("final_score") * DUPLICATE_FACTOR, 4)).otherwise(F.col("final_score"))
+    return rank_top(marked.withColumn("final_score", demoted).drop("_rank"), n)
 
 
 def score_one(cand: DataFrame, jobs: DataFrame, candidate_id: str, job_id, **vectors) -> DataFrame:
