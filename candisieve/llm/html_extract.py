@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candisieve.session import materialize
+
 # A subtree is a template if it recurs on at least so many titles of a host, and on this share of them.
 LEAST_PAGES, SHARE = 5, 0.3
 
@@ -248,7 +250,9 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: f
     """
     slim = pages.select(F.col("`page_id`").alias("page_id"), F.col("`url`").alias("url"), F.col("`html`").alias("html"))
     slim = slim.withColumn("host", host_of(F.col("url")))
-    rows = slim.join(site_templates(slim.select("host", "html"), least_pages, share), "host", "left").select("page_id", "url", "html", "templates")
+    # Written first: its size is then known to the join, and a host with many pages can be split.
+    templates = materialize(site_templates(slim.select("host", "html"), least_pages, share), "page-templates")
+    rows = slim.join(templates, "host", "left").select("page_id", "url", "html", "templates")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
