@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candisieve.functions import vectors as vec
 from candisieve.functions.text import term_tokens
 from candisieve.operators import retrieval as rt
+from candisieve.session import materialize
 from workloads import testbed as tb
 from workloads.profile_queries import d_term_tokens
 from workloads.registry import d_list, query
@@ -39,12 +40,12 @@ def _queries(spark, sf):
     return tb.load(spark, sf, "benchmark").select(F.col("item_id").alias("job_id"), "text")
 
 
-def _tfidf(spark, sf):
+def _tfidf(spark, sf, k=None):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
-    vocab = rt.tfidf_fit(docs, "text", STOP)
+    vocab = materialize(rt.tfidf_fit(docs, "text", STOP), "vocabulary")
     postings = rt.tfidf_transform(docs, "doc_id", "text", vocab, STOP)
     return docs, queries, rt.tfidf_scores(
-        postings, rt.tfidf_transform(queries, "job_id", "text", vocab, STOP), "doc_id")
+        postings, rt.tfidf_transform(queries, "job_id", "text", vocab, STOP), "doc_id", docs.count(), queries.count(), k)
 
 
 @query("r01_tfidf_fit", f"WITH {D_TERMS}, {D_VOCAB} SELECT term, total, df, round(idf, 6) AS idf FROM vocab")
@@ -67,7 +68,7 @@ def r03(spark, sf):
 @query("r04_tfidf_top", f"""{D_TFIDF}, {D_TFIDF_SCORES}, {D_TFIDF_RANKED}
 SELECT job_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 800""")
 def r04(spark, sf):
-    docs, queries, scores = _tfidf(spark, sf)
+    docs, queries, scores = _tfidf(spark, sf, 800)
     return rt.topk_with_fill(scores, docs, queries, "doc_id", 800).withColumn("score", F.round("score", 6))
 
 
@@ -123,7 +124,7 @@ SELECT job_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() O
   SELECT job_id, id, 1.0::DOUBLE / (60 + coalesce(a.rank, 100000)) + 1.0::DOUBLE / (60 + coalesce(b.rank, 100000)) AS score
   FROM a FULL JOIN b USING (job_id, id)) x) y WHERE rank <= 40""")
 def r08(spark, sf):
-    docs, queries, scores = _tfidf(spark, sf)
+    docs, queries, scores = _tfidf(spark, sf, 80)
     a = rt.topk_with_fill(scores, docs, queries, "doc_id", 80).withColumnRenamed("doc_id", "id")
     b = vec.vector_topk(tb.load(spark, sf, "embeddings"), _vector_queries(spark, sf), 80, "vec_id").withColumnRenamed("vec_id", "id")
     return rt.rrf(a, b, "id", 40).withColumn("score", F.round("score", 9))
@@ -156,7 +157,7 @@ def r09(spark, sf):
 @query("r10_bm25_score", f"{D_BM25} SELECT job_id, doc_id, round(score, 6) AS score FROM scores")
 def r10(spark, sf):
     docs, queries = _bm25_inputs(spark, sf)
-    return rt.bm25_score(docs, "doc_id", queries).withColumn("score", F.round("score", 6))
+    return rt.bm25_scores(docs, "doc_id", queries).withColumn("score", F.round("score", 6))
 
 
 @query("r11_bm25_top", f"""{D_BM25} SELECT job_id, doc_id, round(score, 6) AS score, rank FROM (
@@ -165,7 +166,7 @@ def r10(spark, sf):
     LEFT JOIN scores s ON s.job_id = b.item_id AND s.doc_id = d.doc_id) x) y WHERE rank <= 100""")
 def r11(spark, sf):
     docs, queries = _bm25_inputs(spark, sf)
-    scores = rt.bm25_score(docs, "doc_id", queries)
+    scores = rt.bm25_scores(docs, "doc_id", queries, k=100)
     return rt.topk_with_fill(scores, docs, queries, "doc_id", 100).withColumn("score", F.round("score", 6))
 
 
