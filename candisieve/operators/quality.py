@@ -17,6 +17,7 @@ from candisieve.functions.text import strip
 
 HEADER = ["candidate_id", "rank", "score", "reasoning"]
 LIST_LENGTH = 100
+RANK_RANGE = 10_000
 _INTEGER = r"^(0|-?[1-9][0-9]*)$"
 _FLOAT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))$"
 
@@ -44,6 +45,12 @@ def _report(rows: DataFrame, keys: Sequence[str], rule: str, row_key: Column) ->
     return rows.select(*keys, F.lit(rule).alias("rule"), row_key.cast("string").alias("row_key"))
 
 
+def _repeats(rows: DataFrame, same: Sequence[str]) -> DataFrame:
+    """Rows behind the first one with equal ``same``; the first is found by partial aggregation."""
+    first = rows.groupBy(*same).agg(F.min("row_num").alias("_first"))
+    return rows.join(first, list(same)).filter("row_num > _first")
+
+
 def check_header(header: Sequence[str]) -> list[str]:
     """V01 for the header line alone."""
     return [] if list(header) == HEADER else ["header"]
@@ -61,8 +68,7 @@ def check_ids(sub: DataFrame, keys: Sequence[str], id_pattern: str = ID_PATTERN)
     """Id given, well formed, and not used before."""
     rows = _whole(sub).withColumn("_id", _cell("candidate_id"))
     formed = rows.filter(F.col("_id").rlike(id_pattern))
-    nth = F.row_number().over(Window.partitionBy(*keys, "_id").orderBy("row_num"))
-    repeated = formed.withColumn("_nth", nth).filter("_nth > 1")
+    repeated = _repeats(formed, [*keys, "_id"])
     return reduce(DataFrame.unionByName, [
         _report(rows.filter("_id = ''"), keys, "id_missing", F.col("row_num")),
         _report(rows.filter((F.col("_id") != "") & ~F.col("_id").rlike(id_pattern)), keys, "id_pattern", F.col("row_num")),
@@ -74,14 +80,13 @@ def check_ranks(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = _whole(sub).withColumn("_rank", _rank())
     inside = F.col("_rank").between(1, LIST_LENGTH)
     good = rows.filter(inside)
-    nth = F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("row_num"))
     every = sub.select(*keys).distinct().withColumn(
         "_rank", F.explode(F.sequence(F.lit(1), F.lit(LIST_LENGTH)).cast("array<bigint>")))
     absent = every.join(good.select(*keys, "_rank"), [*keys, "_rank"], "left_anti")
     return reduce(DataFrame.unionByName, [
         _report(rows.filter("_rank IS NULL"), keys, "rank_integer", F.col("row_num")),
         _report(rows.filter(~inside), keys, "rank_range", F.col("row_num")),
-        _report(good.withColumn("_nth", nth).filter("_nth > 1"), keys, "rank_duplicate", F.col("row_num")),
+        _report(_repeats(good, [*keys, "_rank"]), keys, "rank_duplicate", F.col("row_num")),
         _report(absent, keys, "rank_missing", F.col("_rank"))])
 
 
@@ -91,12 +96,22 @@ def check_scores(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _by_rank(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Readable rows beside the next one in rank order."""
+    """Readable rows beside the next one in rank order.
+
+    A list may be of any length, so it is cut into ranges of ``RANK_RANGE`` ranks; rows meet their
+    successor inside a range, and the last row of a range the first one of the next.
+    """
     rows = _whole(sub).select(
         *keys, "row_num", _rank().alias("r"), _score().alias("s"), _cell("candidate_id").alias("id")
-    ).filter("r IS NOT NULL AND s IS NOT NULL AND id <> ''")
-    order = Window.partitionBy(*keys).orderBy("r", "row_num")
-    return rows.withColumn("next_s", F.lead("s").over(order)).withColumn("next_id", F.lead("id").over(order))
+    ).filter("r IS NOT NULL AND s IS NOT NULL AND id <> ''").withColumn("part", F.floor(F.col("r") / RANK_RANGE))
+    order = Window.partitionBy(*keys, "part").orderBy("r", "row_num")
+    inside = rows.withColumn("next_s", F.lead("s").over(order)).withColumn("next_id", F.lead("id").over(order))
+    place, row = F.struct("r", "row_num"), F.struct("r", "s", "id")
+    ends = rows.groupBy(*keys, "part").agg(F.min_by(row, place).alias("head"), F.max_by(row, place).alias("tail"))
+    ends = ends.withColumn("after", F.lead("head").over(Window.partitionBy(*keys).orderBy("part")))
+    between = ends.select(*keys, "tail.*", F.col("after.s").alias("next_s"), F.col("after.id").alias("next_id"))
+    wanted = [*keys, "r", "s", "id", "next_s", "next_id"]
+    return inside.filter("next_id IS NOT NULL").select(*wanted).unionByName(between.select(*wanted))
 
 
 def check_monotonic(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
