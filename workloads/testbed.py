@@ -356,9 +356,14 @@ def candidates(
     spark: SparkSession, sf_dir: str,
     parts: tuple[str, ...] = ("career_history", "education", "skills", "certifications"),
 ) -> DataFrame:
-    """Nested candidates with the array columns a query needs."""
+    """Nested candidates with the array columns a query needs.
+
+    Dealt by id into as many partitions as the session names, which the joins keep: small rows
+    would be put together into one task, yet the text work on them is not small.
+    """
     from candisieve.sources.candidates import CANDIDATE_SCHEMA
 
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = flat(spark, sf_dir, "cand").selectExpr(
         "candidate_id",
         """struct(name AS anonymized_name, headline, summary, location, country,
@@ -378,7 +383,7 @@ def candidates(
              cast(applications AS int) AS saved_by_recruiters_30d,
              interview_rate AS interview_completion_rate, offer_rate AS offer_acceptance_rate,
              verified_email, verified_phone, linkedin AS linkedin_connected) AS signals""")
-    out = base
+    out = base.repartition(n, "candidate_id")
     for part in parts:
         table, fields = _PARTS[part]
         out = out.join(_nest(flat(spark, sf_dir, table), fields, part), "candidate_id", "left")
