@@ -51,9 +51,14 @@ def _repeats(rows: DataFrame, same: Sequence[str]) -> DataFrame:
     return rows.join(first, list(same)).filter("row_num > _first")
 
 
-def check_header(header: Sequence[str]) -> list[str]:
-    """V01 for the header line alone."""
-    return [] if list(header) == HEADER else ["header"]
+def check_header(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The header line, ``keys, header`` with its cells as an array, is exactly ``HEADER``.
+
+    A list without a header line has null there, which is a fault too.
+    """
+    wanted = F.array(*[F.lit(c) for c in HEADER])
+    return _report(headers.filter(~F.col("header").eqNullSafe(wanted)), keys, "header", F.coalesce(
+        F.array_join("header", ",", ""), F.lit("")))
 
 
 def check_shape(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,6 +133,6 @@ def check_ties(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
 CHECKS = [check_shape, check_ids, check_ranks, check_scores, check_monotonic, check_ties]
 
 
-def violations(sub: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All checks, as one table."""
-    return reduce(DataFrame.unionByName, [check(sub, keys) for check in CHECKS])
+def violations(sub: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All checks, as one table. ``headers`` holds the header line of every list."""
+    return reduce(DataFrame.unionByName, [check_header(headers, keys), *(check(sub, keys) for check in CHECKS)])

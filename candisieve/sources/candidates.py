@@ -222,5 +222,5 @@ def dataset_status(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_name").alias("f"),
                      F.col("_metadata.file_modification_time").alias("t")).agg(
         F.count("*").alias("candidate_count"), F.min("f").alias("file_name"),
-        F.max("t").alias("last_updated"),
+        F.count_distinct("f").alias("n_files"), F.max("t").alias("last_updated"),
     ).withColumn("status", F.when(F.col("candidate_count") > 0, "loaded").otherwise("idle"))

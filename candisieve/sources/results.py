@@ -43,12 +43,23 @@ def count_cells(line: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
+def read_submission_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file, header``: the cells of the first line of every ranked list. A file without lines has no row."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"))
+    # Numbers rise within a block, and the first block of a file holds its first line.
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("value"))
+    return first.select("file", F.split("value", ",").alias("header"))
+
+
 def read_submission_cells(spark: SparkSession, path: str) -> DataFrame:
-    """A ranked list as written, for the checks: all cells as text, blank lines and the
-    header line left out."""
-    lines = spark.read.text(path).withColumn("row_num", F.monotonically_increasing_id())
-    lines = lines.filter((strip(F.replace("value", F.lit(","), F.lit(""))) != "")
-                         & (F.col("value") != ",".join(SUBMISSION_COLUMNS)))
+    """A ranked list as written, for the checks: all cells as text, without blank lines and
+    the first line of each file. That line is for ``read_submission_headers``; the same text
+    further down is a row like any other."""
+    lines = (spark.read.schema("value STRING").option("header", True).option("sep", "\u0001").option("quote", "")
+             .csv(path).select("value", F.monotonically_increasing_id().alias("row_num")))
+    lines = lines.filter(strip(F.replace("value", F.lit(","), F.lit(""))) != "")
     cells = F.from_csv("value", F.lit("candidate_id STRING, rank STRING, score STRING, reasoning STRING"),
                        {"escape": '"', "mode": "PERMISSIVE"})
     return lines.select(

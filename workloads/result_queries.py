@@ -187,9 +187,29 @@ for _name, _fn in zip(V_SQL, qa.CHECKS):
     _check(_name, _fn)
 
 
-@query("v_all_violations", HANDED + f"SELECT rule, count(*) AS n FROM ({' UNION ALL '.join(p for ps in V_SQL.values() for p in ps)}) v GROUP BY rule")
+# Header lines of the lists as handed in: some with two cells changed over, a cell too few, or none at all.
+D_HEADERS = """(SELECT job_id, CASE job_id % 7 WHEN 2 THEN 'candidate_id,score,rank,reasoning' WHEN 3 THEN 'candidate_id,rank,score' WHEN 5 THEN ''
+  ELSE 'candidate_id,rank,score,reasoning' END AS line FROM (SELECT DISTINCT job_id FROM handed_in) j) h"""
+V_HEADER = _v("header", "line", D_HEADERS, "line <> 'candidate_id,rank,score,reasoning'")
+
+
+def _headers(spark, sf):
+    lists = tb.flat(spark, sf, "handed_in").select("job_id").distinct()
+    names = {2: ["candidate_id", "score", "rank", "reasoning"], 3: qa.HEADER[:3]}
+    header = F.when(F.col("job_id") % 7 == 5, F.lit(None))
+    for left, cells in names.items():
+        header = header.when(F.col("job_id") % 7 == left, F.array(*map(F.lit, cells)))
+    return lists.withColumn("header", header.otherwise(F.array(*map(F.lit, qa.HEADER))))
+
+
+@query("v01_header", tb.with_flat("handed_in") + V_HEADER)
+def v01_header(spark, sf):
+    return qa.check_header(_headers(spark, sf), ["job_id"])
+
+
+@query("v_all_violations", HANDED + f"SELECT rule, count(*) AS n FROM ({' UNION ALL '.join([V_HEADER, *(p for ps in V_SQL.values() for p in ps)])}) v GROUP BY rule")
 def v_all(spark, sf):
-    return qa.violations(tb.flat(spark, sf, "handed_in"), ["job_id"]).groupBy("rule").agg(F.count("*").alias("n"))
+    return qa.violations(tb.flat(spark, sf, "handed_in"), _headers(spark, sf), ["job_id"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ analytics
@@ -294,16 +314,34 @@ def n14(spark, sf):
 
 # ------------------------------------------------------------------ exploration
 
-@query("x01_search", tb.d_results("cand_skill", "cand_job", "cand_edu", "cand_cert") + """SELECT r.job_id, r.candidate_id FROM res r WHERE contains(lower(r.candidate_id), 'ibm') OR contains(lower(reasoning), 'google')
-OR EXISTS (SELECT 1 FROM cand_skill k WHERE k.candidate_id = r.candidate_id AND contains(lower(k.name), 'google'))
-OR contains(lower(current_title), 'google') OR contains(lower(current_company), 'google') OR contains(lower(location), 'google') OR contains(lower(summary), 'google')
-OR EXISTS (SELECT 1 FROM cand_job k WHERE k.candidate_id = r.candidate_id AND (contains(lower(k.company), 'google') OR contains(lower(k.title), 'google')))
-OR EXISTS (SELECT 1 FROM cand_edu k WHERE k.candidate_id = r.candidate_id AND (contains(lower(k.degree), 'google') OR contains(lower(k.institution), 'google')))
-OR EXISTS (SELECT 1 FROM cand_cert k WHERE k.candidate_id = r.candidate_id AND (contains(lower(k.name), 'google') OR contains(lower(k.issuer), 'google')))""")
+def _d_found(needle: str) -> str:
+    """Rows with the needle in any searched field."""
+    def has(*fields: str) -> str:
+        return "(" + " OR ".join(f"contains(lower({f}), '{needle}')" for f in fields) + ")"
+
+    def any_has(table: str, *fields: str) -> str:
+        return f"EXISTS (SELECT 1 FROM {table} k WHERE k.candidate_id = r.candidate_id AND {has(*('k.' + f for f in fields))})"
+    years = "CASE WHEN years = floor(years) THEN CAST(CAST(years AS BIGINT) AS VARCHAR) ELSE CAST(years AS VARCHAR) END"
+    plain = has("r.candidate_id", "reasoning", "current_title", "current_company", "location", "summary", years, "CAST(notice_days AS VARCHAR)")
+    return tb.d_results("cand_skill", "cand_job", "cand_edu", "cand_cert") + f"""SELECT r.job_id, r.candidate_id FROM res r WHERE {plain}
+OR {any_has('cand_skill', 'name')} OR {any_has('cand_job', 'company', 'title')} OR {any_has('cand_edu', 'degree', 'institution')} OR {any_has('cand_cert', 'name', 'issuer')}"""
+
+
+@query("x01_search", _d_found("google"))
 def x01(spark, sf):
     return xp.search(tb.results(spark, sf), " Google ").select(*KEYS)
 
 
+@query("x01_search_number", _d_found("7.5"))
+def x01_number(spark, sf):
+    return xp.search(tb.results(spark, sf), "7.5").select(*KEYS)
+
+
+@query("x01_search_days", _d_found("90"))
+def x01_days(spark, sf):
+    return xp.search(tb.results(spark, sf), "90").select(*KEYS)
+
+
 @query("x02_sort", RES + "SELECT job_id, candidate_id, rank, final_score FROM result")
 def x02(spark, sf):
     return xp.sort_results(tb.flat(spark, sf, "result"), "score", "desc").select(*KEYS, "rank", "final_score")
