@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candisieve.operators import retrieval as rt
-from candisieve.plans.funnel import bm25_stage, funnel, lexical_stage
+from candisieve.plans.funnel import FUNNEL_SIZES, bm25_stage, funnel, lexical_stage
 from candisieve.session import materialize, scratch_path
 from candisieve.sources import candidates as sc
 from candisieve.sources import postings as sp
@@ -95,9 +95,15 @@ def s08(spark, sf):
     return sc.preflight(candidate_lines(spark, sf))
 
 
-@query("s09_dataset_status", "SELECT count(*) AS candidate_count, 'customer.parquet' AS file_name, 'loaded' AS status FROM customer")
+@query("s08_preflight_head", CAND + f"SELECT least(count(*), 5) AS n_rows FROM cand WHERE {K} <> 1")
+def s08_head(spark, sf):
+    # Which five rows come first is up to the scan; how many they are is not.
+    return sc.preflight_head(candidate_lines(spark, sf)).select("n_rows")
+
+
+@query("s09_dataset_status", "SELECT count(*) AS candidate_count, 'customer.parquet' AS file_name, 1::BIGINT AS n_files, 'loaded' AS status FROM customer")
 def s09(spark, sf):
-    return sc.dataset_status(tb.load(spark, sf, "customer")).select("candidate_count", "file_name", "status")
+    return sc.dataset_status(tb.load(spark, sf, "customer")).select("candidate_count", "file_name", "n_files", "status")
 
 
 def _ranked(spark, sf):
@@ -136,8 +142,10 @@ def s14(spark, sf):
     return sr.run_metrics(tb.flat(spark, sf, "result"))
 
 
-@query("s15_reuse_or_run", tb.with_flat("posting") + "SELECT job_id FROM posting WHERE md5(raw_text) NOT IN (SELECT md5(raw_text) FROM posting WHERE job_id % 4 = 0)")
-def s15(spark, sf):
+_STORED = "(SELECT md5(raw_text) FROM posting WHERE job_id % 4 = 0)"
+
+
+def _reuse_or_run(spark, sf):
     """A store with complete, short and outdated runs: only complete current ones count."""
     postings, table = tb.postings(spark, sf), tb.load(spark, sf, "customer")
     fingerprint = sr.dataset_fingerprint(table)
@@ -145,7 +153,17 @@ def s15(spark, sf):
     store = sr.with_run_key(postings, fingerprint, "1").filter(key < 3).select(
         "jd_hash", (F.col("dataset_size") + F.when(key == 2, 1).otherwise(0)).alias("dataset_size"), "dataset_mtime", "version",
         F.when(key == 1, 50).otherwise(100).alias("n_rows"))
-    return sr.reuse_or_run(postings, fingerprint, store, "1")[1].select("job_id")
+    return sr.reuse_or_run(postings, fingerprint, store, "1")
+
+
+@query("s15_reuse_or_run", tb.with_flat("posting") + f"SELECT job_id FROM posting WHERE md5(raw_text) NOT IN {_STORED}")
+def s15(spark, sf):
+    return _reuse_or_run(spark, sf)[1].select("job_id")
+
+
+@query("s15_reused", tb.with_flat("posting") + f"SELECT job_id FROM posting WHERE md5(raw_text) IN {_STORED}")
+def s15_reused(spark, sf):
+    return _reuse_or_run(spark, sf)[0].select("job_id")
 
 
 @query("s16_index_tables", r"""WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_À-ÖØ-öø-ÿ]{2,}')) AS term FROM documents),
@@ -164,9 +182,6 @@ def s16(spark, sf):
 
 # ------------------------------------------------------------------ the funnel
 
-SIZES = {"lexical": 200, "bm25": 80, "dense": 30, "final": 10}
-
-
 @query("r13_funnel_bm25_stage", tb.with_flat("cand", "cand_skill", "job", "job_tech", "application").rstrip() + f""",
 toks AS (SELECT a.job_id, c.candidate_id, {d_term_tokens(D_BM25_TEXT)} AS tokens FROM application a JOIN cand c USING (candidate_id)
   LEFT JOIN (SELECT candidate_id, string_agg(name, ' ' ORDER BY pos) AS s FROM cand_skill GROUP BY 1) k USING (candidate_id)),
@@ -178,9 +193,9 @@ dfs AS (SELECT job_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
 scores AS (SELECT job_id, candidate_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * (CAST(dl AS DOUBLE) / avg_len)))), 9) AS score
   FROM tf JOIN dfs USING (job_id, term) JOIN sizes USING (job_id) GROUP BY 1, 2)
 SELECT job_id, candidate_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM (
-  SELECT a.job_id, a.candidate_id, coalesce(s.score, 0) AS score FROM application a LEFT JOIN scores s USING (job_id, candidate_id)) x) y WHERE rank <= 80""")
+  SELECT a.job_id, a.candidate_id, coalesce(s.score, 0) AS score FROM application a LEFT JOIN scores s USING (job_id, candidate_id)) x) y WHERE rank <= {FUNNEL_SIZES['bm25']}""")
 def r13_bm25(spark, sf):
-    out = bm25_stage(tb.applications(spark, sf), tb.jobs(spark, sf), tb.candidates(spark, sf, ("skills",)), 80)
+    out = bm25_stage(tb.applications(spark, sf), tb.jobs(spark, sf), tb.candidates(spark, sf, ("skills",)), FUNNEL_SIZES["bm25"])
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -199,11 +214,10 @@ p AS (SELECT candidate_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY candidat
 q AS (SELECT job_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY job_id)) AS w FROM (SELECT job_id, term, count(*) * any_value(idf) AS w FROM (
   SELECT job_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_À-ÖØ-öø-ÿ]{{2,}}')) AS term FROM queries) x JOIN vocab USING (term) GROUP BY 1, 2) y),
 scores AS (SELECT job_id, candidate_id, round(sum(p.w * q.w), 9) AS score FROM p JOIN q USING (term) GROUP BY 1, 2)
-SELECT job_id, candidate_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM (
-  SELECT j.job_id, c.candidate_id, coalesce(s.score, 0) AS score FROM job j CROSS JOIN cand c LEFT JOIN scores s ON s.job_id = j.job_id AND s.candidate_id = c.candidate_id) x) y WHERE rank <= 200""")
+SELECT job_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM (
+  SELECT j.job_id, c.candidate_id, coalesce(s.score, 0) AS score FROM job j CROSS JOIN cand c LEFT JOIN scores s ON s.job_id = j.job_id AND s.candidate_id = c.candidate_id) x) y WHERE rank <= {FUNNEL_SIZES['lexical']}""")
 def r13_lexical(spark, sf):
-    out = lexical_stage(tb.jobs(spark, sf), tb.candidates(spark, sf), 200, STOP)
-    return out.withColumn("score", F.round("score", 6))
+    return lexical_stage(tb.jobs(spark, sf), tb.candidates(spark, sf), FUNNEL_SIZES["lexical"], STOP)
 
 
 @query("r13_funnel")
@@ -212,7 +226,7 @@ def r13(spark, sf):
     cand = materialize(tb.candidates(spark, sf), "candidates")
     job = materialize(tb.jobs(spark, sf), "jobs")
     vectors = materialize(cand_vectors(spark, sf), "vectors")
-    out = funnel(job, cand, vectors, job_vectors(spark, sf), SIZES, STOP, synonyms(spark))
+    out = funnel(job, cand, vectors, job_vectors(spark, sf), FUNNEL_SIZES, STOP, synonyms(spark))
     return out.select("job_id", "candidate_id", "rank", "final_score", "is_honeypot", "reasoning")
 
 
