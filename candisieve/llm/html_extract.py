@@ -1,8 +1,9 @@
 """Main text of web pages by removal of site templates.
 
 Every page is read into its elements. Element subtrees are hashed and counted per host over pages of
-different titles; subtrees that recur across many of them belong to the site's template and are
-deleted, as are elements whose kind or name says that they are no article text.
+different main text, inside articles over pages of different titles; subtrees that recur across many of
+them belong to the site's template and are deleted, as are elements whose kind or name says that they are
+no article text.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from candisieve.session import materialize
 
-# A subtree is a template if it recurs on at least so many titles of a host, and on this share of them.
-LEAST_PAGES, SHARE = 5, 0.3
+# A subtree is a template if it recurs on at least so many different pages of a host and on this share of
+# them, or on so many pages whatever their share, so that a hot host's sections do not ask for ever more.
+LEAST_PAGES, SHARE, MANY_PAGES = 5, 0.3, 1_000
 
 # Fixed values of HTML: elements without content, with raw content, inside a line of text, and
 # those whose start closes an open element of the same group.
@@ -78,13 +80,14 @@ class Page:
     """The blocks of a page with the subtrees that hold them, read in one pass.
 
     ``templates`` are hashes of subtrees to delete. Afterwards ``blocks`` is the kept text by block
-    and ``subtrees`` the hashes of all block elements with text.
+    and ``subtrees`` the hashes of all block elements with text, ``inside`` those of them in an article.
     """
 
     def __init__(self, html: str, templates: frozenset[int] = frozenset()):
         self.templates = templates
         self.blocks: list[tuple[str, int]] = []
         self.subtrees: set[int] = set()
+        self.inside: set[int] = set()
         self.title = ""
         self.line: list[str] = []
         # Open elements: kind, whether dropped, first block, parts of the hash, level of content.
@@ -113,9 +116,8 @@ class Page:
                 continue
             if name in RAW and not tag.group(3).endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                inner = html[at: stop.start() if stop else n]
                 if name == "title" and not self.title:
-                    self.title = " ".join(inner.split())
+                    self.title = " ".join(html[at: stop.start() if stop else n].split())
                 at = stop.end() if stop else n
                 if name not in INLINE:
                     self.flush()
@@ -177,7 +179,7 @@ class Page:
 
     def close(self) -> None:
         """Close the innermost element: hash its subtree and delete it if it is a template's."""
-        tag, dropped, first, _, _ = self.open[-1]
+        tag, dropped, first, _, level = self.open[-1]
         if tag not in INLINE:
             self.flush()
         parts = self.open.pop()[3]
@@ -193,6 +195,8 @@ class Page:
             return
         if tag not in KEPT:
             self.subtrees.add(value)
+            if level == 2:
+                self.inside.add(value)
         self.open[-1][3].append(digest)
 
     def main_text(self) -> str:
@@ -200,9 +204,13 @@ class Page:
         best = max((level for _, level in self.blocks), default=0)
         return " ".join(block for block, level in self.blocks if level == best)
 
+    def content(self) -> int:
+        """Tells pages of different main text apart, whatever their titles and what surrounds their articles."""
+        return xxhash.xxh64_intdigest(self.main_text().encode("utf-8", "replace")) - 2**63
+
     def heading(self) -> int:
-        """Tells pages of different titles apart; pages without a title by their text."""
-        return xxhash.xxh64_intdigest(self.title or self.main_text()) - 2**63
+        """Tells pages of different titles apart; pages without a title by their main text."""
+        return xxhash.xxh64_intdigest(self.title.encode("utf-8", "replace")) - 2**63 if self.title else self.content()
 
 
 def host_of(url: Column) -> Column:
@@ -211,36 +219,47 @@ def host_of(url: Column) -> Column:
 
 
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """``host, subtree, heading`` of ``host, html``; a row with subtree null for every page."""
+    """``host, subtree, inside, content, heading`` of ``host, html``; a row with subtree null for every page."""
+    names = ["host", "subtree", "inside", "content", "heading"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subtrees, headings = [], [], []
+            rows: list[tuple] = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(html or "")
-                found = [None, *page.subtrees]
-                hosts += [host] * len(found)
-                subtrees += found
-                headings += [page.heading()] * len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(headings, pa.int64())], ["host", "subtree", "heading"])
+                content, heading = page.content(), page.heading()
+                rows.append((host, None, False, content, heading))
+                rows += [(host, subtree, subtree in page.inside, content, heading) for subtree in page.subtrees]
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
-    return pages.mapInArrow(read, "host string, subtree bigint, heading bigint")
+    return pages.mapInArrow(read, "host string, subtree bigint, inside boolean, content bigint, heading bigint")
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``host, templates`` for hosts that have any, from ``host, html``.
 
-    A host's list is bounded by the subtrees of a page over ``share``. Copies of a page have one
-    title and count once, so an article that a host repeats is no template of it.
+    Pages are told apart by their main text, so copies of a page count once and pages of one title each.
+    What lies inside an article is counted over titles if the host has at least ``least_pages`` of them:
+    versions of an article have one title, and their common heading and lines are no template. A host's
+    list is bounded by the subtrees of a page over ``share``, and by all its subtrees over ``many_pages``.
     """
-    counts = subtree_rows(pages).groupBy("host", "subtree").agg(F.countDistinct("heading").alias("n"))
-    whole = counts.where("subtree is null").select("host", F.col("n").alias("all"))
-    often = counts.where((F.col("n") >= least_pages) & F.col("subtree").isNotNull()).join(whole, "host")
-    return often.where(F.col("n") >= F.col("all") * share).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
-
-
-def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    counts = subtree_rows(pages).groupBy("host", "subtree").agg(
+        F.max("inside").alias("inside"), F.countDistinct("content").alias("contents"), F.countDistinct("heading").alias("headings"))
+    whole = counts.where("subtree is null").select("host", F.col("contents").alias("all_contents"), F.col("headings").alias("all_headings"))
+    # A host's texts may all be one where its titles differ, so either may be the smaller number.
+    often = counts.where((F.greatest("contents", "headings") >= least_pages) & F.col("subtree").isNotNull()).join(whole, "host")
+    by_title = F.col("inside") & (F.col("all_headings") >= least_pages)
+    n = F.when(by_title, F.col("headings")).otherwise(F.col("contents"))
+    of = F.when(by_title, F.col("all_headings")).otherwise(F.col("all_contents"))
+    enough = (n >= least_pages) & ((n >= of * share) | (n >= many_pages))
+    return often.where(enough).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+
+
+def extract_main_text(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES,
+) -> DataFrame:
     """``page_id, url, text`` of every page (``page_id, url, html``), from its whole html.
 
     Character references are decoded, white space within a block becomes one space, blocks are
@@ -251,7 +270,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: f
     slim = pages.select(F.col("`page_id`").alias("page_id"), F.col("`url`").alias("url"), F.col("`html`").alias("html"))
     slim = slim.withColumn("host", host_of(F.col("url")))
     # Written first: its size is then known to the join, and a host with many pages can be split.
-    templates = materialize(site_templates(slim.select("host", "html"), least_pages, share), "page-templates")
+    templates = materialize(site_templates(slim.select("host", "html"), least_pages, share, many_pages), "page-templates")
     rows = slim.join(templates, "host", "left").select("page_id", "url", "html", "templates")
     kind = rows.schema["page_id"].dataType.simpleString()
 

@@ -136,6 +136,26 @@ def test_templates_of_a_site_go_and_repeated_articles_stay(spark):
     assert html_extract.extract_main_text(table.where("page_id < 0")).isEmpty()
 
 
+def test_templates_are_counted_over_pages_not_titles(spark):
+    notice = "<div><div>All the news</div></div>"
+    rows = [(i, f"http://one.example/{i}", page(notice + f"<div><p>story {i}</p></div>", "One title")) for i in range(12)]
+    # Under the share of a large host, a section's notice is a template by its number of pages.
+    rows += [(100 + i, f"http://hot.example/{i}", page((notice if i < 20 else "") + f"<div><p>story {i}</p></div>", f"t{i}")) for i in range(100)]
+    # An article that a host repeats under changing surroundings counts once.
+    rows += [(300 + i, f"http://copy.example/{i}", page(f"<div>ad {i}</div><article><p>one article</p></article>")) for i in range(20)]
+    # Versions of an article have its heading in common, which stays; a box that other articles have too goes.
+    rows += [(400 + i, f"http://version.example/{i}", page(f"<article><h1>{'News' if i < 6 else i}</h1><p>version {i}</p><div>Read on</div></article>", "News" if i < 6 else f"t{i}"))
+             for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(table, many_pages=20).collect()}
+    assert all(got[i] == f"story {i}" for i in range(12))
+    assert all(got[100 + i] == f"story {i}" for i in range(100))
+    assert all(got[300 + i] == "one article" for i in range(20))
+    assert got[400] == "News version 0" and got[405] == "News version 5" and got[411] == "11 version 11"
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(table, many_pages=21).collect()}
+    assert got[100] == "All the news story 0" and got[0] == "story 0"
+
+
 def test_given_pages_read_as_their_articles(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_extract.extract_main_text(rows).join(rows, ["page_id", "url"]).collect():
