@@ -49,6 +49,18 @@ NAMES = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 KEPT = frozenset("html body main article".split())
 
+# Raw content ends where a browser would end it or a page's body starts, if that comes before the end tag.
+BREAKS = {
+    "select": re.compile(r"<(?:select|input|textarea|article|main)\b", re.I),
+    "svg": re.compile(r"<(?:article|main|div|p|h[1-6]|ul|ol|table)\b", re.I),
+    "math": re.compile(r"<(?:article|main|div|p|h[1-6]|ul|ol|table)\b", re.I),
+    "object": re.compile(r"<(?:article|main)\b", re.I)}
+FOREIGN = re.compile(r"<(?:foreignobject|annotation-xml)\b", re.I)
+# Without an end tag these still hold code or a name up to the next tag; others then hold nothing.
+CODE = frozenset("script style title textarea".split())
+# Levels of content: an article in a dropped element, plain, in a main part, in an article.
+RESCUED, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2
+
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
@@ -79,6 +91,12 @@ def named_away(tag: str, attributes: str, in_article: bool) -> bool:
 class Page:
     """The blocks of a page with the subtrees that hold them, read in one pass.
 
+    A main part is kept wherever it lies, an article as well in a form or behind a dropped element
+    without an end. An article in another dropped element (a comment, a teaser, or the page's body in
+    a wrapper) is kept apart for pages without a better text. A form that holds most of the page is
+    no form but its body. A page left without any text is read again, with names, forms and open ends
+    ignored.
+
     ``templates`` are hashes of subtrees to delete. Afterwards ``blocks`` is the kept text by block
     and ``subtrees`` the hashes of all block elements with text, ``inside`` those of them in an article.
     """
@@ -90,13 +108,38 @@ class Page:
         self.inside: set[int] = set()
         self.title = ""
         self.line: list[str] = []
-        # Open elements: kind, whether dropped, first block, parts of the hash, level of content.
-        self.open: list[tuple[str, bool, int, list[bytes], int]] = [("", False, 0, [], 0)]
-        self.read(html)
+        self.html = html
+        self.ends: dict[str, re.Match | None] = {}
+        self.open_kinds: dict[str, bool] = {}
+        self.lenient = self.any_text = self.any_lost = self.any_article = False
+        self.read_all()
+        if self.any_lost and not self.any_text:
+            self.lenient = True
+            self.read_all()
+
+    def read_all(self) -> None:
+        # Open elements: kind, whether dropped (1 by an outer element, 2 by itself), first block, parts
+        # of the hash, level of content.
+        self.open: list[tuple[str, int, int, list[bytes], int]] = [("", 0, 0, [], PLAIN)]
+        self.ends.clear()
+        self.read(self.html)
         while len(self.open) > 1:
             self.close()
         self.flush()
 
+    def unclosed(self, tag: str) -> bool:
+        """Whether the page opens more elements of a kind than it closes."""
+        if tag not in self.open_kinds:
+            starts, ends = (len(re.findall(rf"<{slash}{re.escape(tag)}[\s/>]", self.html, re.I)) for slash in ("", "/"))
+            self.open_kinds[tag] = starts > ends
+        return self.open_kinds[tag]
+
+    def end_tag(self, tag: str, at: int) -> re.Match | None:
+        """The next end tag of a kind; the page is searched once up to each."""
+        if tag not in self.ends or ((found := self.ends[tag]) and found.start() < at):
+            self.ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.html, at)
+        return self.ends[tag]
+
     def read(self, html: str) -> None:
         at, n = 0, len(html)
         while at < n:
@@ -115,18 +158,30 @@ class Page:
                 self.end(name)
                 continue
             if name in RAW and not tag.group(3).endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                stop = self.end_tag(name, at)
+                end, after = stop.span() if stop else (n, n)
+                if stop is None:
+                    following = _TAG.search(html, at) if name in CODE else None
+                    end = after = following.start() if following else n if name in CODE else at
+                elif name in BREAKS and (early := BREAKS[name].search(html, at, end)) and not FOREIGN.search(html, at, early.start()):
+                    end = after = early.start()
                 if name == "title" and not self.title:
-                    self.title = " ".join(html[at: stop.start() if stop else n].split())
-                at = stop.end() if stop else n
+                    self.title = " ".join(html[at: end].split())
+                at = after
                 if name not in INLINE:
                     self.flush()
                 continue
-            self.start(name, tag.group(3))
+            body = False
+            if name == "form":
+                stop = self.end_tag(name, at)
+                body = 2 * ((stop.start() if stop else n) - at) > n
+            self.start(name, tag.group(3), body)
 
     def text(self, piece: str) -> None:
         if not self.open[-1][1]:
             self.line.append(piece)
+        elif not self.any_lost and not piece.isspace():
+            self.any_lost = True
 
     def flush(self) -> None:
         """End the current line of text as a block of the innermost element."""
@@ -139,8 +194,19 @@ class Page:
             _, _, _, parts, level = self.open[-1]
             parts.append(block.encode("utf-8", "replace"))
             self.blocks.append((block, level))
-
-    def start(self, tag: str, attributes: str) -> None:
+            self.any_text = True
+
+    def away(self, tag: str, attributes: str, in_article: bool) -> bool:
+        """``named_away``; on a second reading only closed elements of a dropped kind and hidden ones are."""
+        if not self.lenient:
+            return named_away(tag, attributes, in_article)
+        if tag in DROPPED:
+            return tag not in ("form", "menu", "dialog") and not self.unclosed(tag)
+        return tag not in KEPT and any(
+            name.lower() == "hidden" or name.lower() == "aria-hidden" and "true" in (v.lower() for v in values)
+            for name, *values in _ATTRIBUTE.findall(attributes))
+
+    def start(self, tag: str, attributes: str, body: bool = False) -> None:
         if tag == "br":
             self.flush()
             return
@@ -152,11 +218,34 @@ class Page:
             self.flush()
         if tag in VOID:
             return
+        main = tag == "main" or 'role="main"' in attributes
+        if self.open[-1][1] and tag == "article":
+            self.end_open_dropped()
         _, dropped, _, _, level = self.open[-1]
-        gone = dropped or named_away(tag, attributes, level == 2)
-        inside = 0 if gone else 2 if tag == "article" else max(level, 1) if tag == "main" or 'role="main"' in attributes else level
+        if dropped and tag == "article":
+            reasons = {kind for kind, gone, *_ in self.open if gone == 2}
+            again = any(kind == "article" and not gone for kind, gone, *_ in self.open)
+            gone = int(again)
+            inside = PLAIN if again else ARTICLE if reasons == {"form"} else RESCUED
+        else:
+            away = not main and not body and self.away(tag, attributes, level in (ARTICLE, RESCUED))
+            gone = 2 if away else int(bool(dropped) and not main)
+            inside = (PLAIN if gone else RESCUED if level == RESCUED else ARTICLE if tag == "article"
+                      else max(level, MAIN) if main else level)
+        if inside == ARTICLE:
+            self.any_article = True
         self.open.append((tag, gone, len(self.blocks), [], inside))
 
+    def end_open_dropped(self) -> None:
+        """End dropped elements that have no end of their own, before the page's first article."""
+        if self.any_article:
+            return
+        for k, (tag, gone, *_) in enumerate(self.open):
+            if gone == 2 and self.unclosed(tag):
+                while len(self.open) > k:
+                    self.close()
+                return
+
     def implied_end(self, group: tuple[str, ...], walls: tuple[str, ...]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in group:
@@ -195,13 +284,16 @@ class Page:
             return
         if tag not in KEPT:
             self.subtrees.add(value)
-            if level == 2:
+            if level in (ARTICLE, RESCUED):
                 self.inside.add(value)
         self.open[-1][3].append(digest)
 
     def main_text(self) -> str:
-        """The blocks of articles; without one those of main parts; without these all that are left."""
-        best = max((level for _, level in self.blocks), default=0)
+        """The blocks of articles; without one those of main parts; without these the longer of what is
+        left and of the articles in dropped elements."""
+        best = max((level for _, level in self.blocks), default=PLAIN)
+        if best == PLAIN:
+            best = max((PLAIN, RESCUED), key=lambda at: sum(len(block) for block, level in self.blocks if level == at))
         return " ".join(block for block, level in self.blocks if level == best)
 
     def content(self) -> int:

@@ -123,6 +123,29 @@ def test_main_text_of_a_page():
     assert html_extract.Page("").main_text() == "" and html_extract.Page("<!-- x").main_text() == ""
 
 
+@pytest.mark.parametrize("html", [
+    "<form id=aspnetForm><input type=hidden value=x><div>menu</div><article><p>body</p></article><p>end</p></form>",
+    "<form><p>body</p></form>", "<div class='sidebar-layout'><p>top</p><main><p>body</p></main></div>",
+    "<div>top</div><div class='sidebar-layout'><article><p>body text</p></article></div>", "<div id='menu-page'><p>body</p></div>",
+    "<nav>menu<article><p>body</p></article>", "<div class=ad>buy<article><p>body</p></article><p>more", "<aside>x<main>body</main>",
+    "<main><h1>top</h1><nav>menu<article>body</article></main>", "<nav><p>body</p>", "<select><option>a<article><p>body</p></article>",
+    "<select><option>a<article><p>body</p></article><select><option>b</select>", "<svg><path d=x><p>body</p>", "<svg><g><p>body</p><svg><g></g></svg>",
+    "<object data=x><p>body</p>", "<math><mi><p>body</p>", "<script>var a = 1;<p>body</p>"])
+def test_a_body_in_a_dropped_or_open_element_is_kept(html):
+    text = html_extract.Page(page(html)).main_text()
+    assert "body" in text and not {"buy", "top", "var"} & set(text.split())
+
+
+def test_articles_that_are_no_body_stay_away():
+    read = lambda html: html_extract.Page(page(html)).main_text()
+    assert read("<article><p>body</p><div class=comments><article>said</article></div></article><aside><article>teaser</article></aside>") == "body"
+    assert read("<article>body</article><div id=comments><div><article>said</article></div>") == "body"
+    assert read("<main>body</main><div class=related><article>a much longer teaser</article></div>") == "body"
+    assert read("<div class=page-sidebar><article>body<div class=comments><article>said</article></div></article></div>") == "body"
+    assert read("<p>body<select><option>a</select><svg><foreignObject><p>no</p></foreignObject></svg><nav>menu</nav><form>f</form>") == "body"
+    assert read("<nav>menu</nav><form><input></form>") == "" and read("<div hidden>x</div>") == ""
+
+
 def test_templates_of_a_site_go_and_repeated_articles_stay(spark):
     box = "<div><div>Our site</div><div>All rights</div></div>"
     rows = [(i, f"http://h.example/{i}", page(box + f"<div><p>story {i}</p><p>same end</p></div>" if i % 2 else box + f"<div><p>other {i}</p></div>", f"t{i}"))
