@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candisieve.llm.common import mix, text_blocks, word_hashes
 
 BITS = 18
 MOST_ROWS = 20_000
+# Copies of a text are learned one by one up to so many, beyond that in so many equal parts.
+MOST_STEPS = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-4
 SCALE = 20.0
@@ -43,8 +45,12 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (both >> np.uint64(64 - BITS)).astype(np.int64), first * 2
 
 
-def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal over texts given as ``(buckets, shares)``; the weights, with the constant last."""
+def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, copies: np.ndarray | None = None) -> np.ndarray:
+    """FTRL-proximal over texts given as ``(buckets, shares)``; the weights, with the constant last.
+
+    A text of many ``copies`` is learned as often, in a row; the steps are ``MOST_STEPS`` at most and
+    then stand for several copies each.
+    """
     dim = 1 << BITS
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
 
@@ -54,14 +60,17 @@ def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ep
         return np.where(np.abs(lead) <= L1, 0.0, w)
 
     rows = list(texts)
+    times = np.ones(len(rows), np.int64) if copies is None else copies
     for _ in range(epochs):
-        for (at, x), y in zip(rows, labels):
-            w = weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * x
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - step * w
-            n[at] += g * g
+        for (at, x), y, count in zip(rows, labels, times):
+            steps = min(int(count), MOST_STEPS)
+            for _ in range(steps):
+                w = weights(at)
+                p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+                g = (p - y) * x if steps == count else (p - y) * x * (count / steps)
+                step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+                z[at] += g - step * w
+                n[at] += g * g
     return weights(np.arange(dim + 1)).astype(np.float32)
 
 
@@ -75,28 +84,49 @@ def sparse_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.append(at, 1 << BITS), np.append(share, 1.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows: int = MOST_ROWS) -> np.ndarray:
-    """Weights from at most about ``most_rows`` rows with a 0/1 label; zero weights if there are none.
+def text_rank(text: Column) -> Column:
+    """The place of a text in the order of the sample."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1)
+
+
+def training_rows(
+    labelled: DataFrame, text: str = "text", label: str = "label", most_rows: int = MOST_ROWS, rank: str | None = None,
+) -> DataFrame:
+    """``text, label, copies, rank``: equal rows collapsed, at most about ``most_rows`` of them.
+
+    Those with the smallest hash of their text are taken. The share is that of the collapsed rows, so a
+    text of many copies takes one place, and the cut comes before the texts are grouped. ``rank`` names
+    a column that holds ``text_rank`` already; computed before a join, it is counted without the texts.
+    """
+    place = F.col(f"`{rank}`") if rank else text_rank(F.col(f"`{text}`"))
+    ranked = labelled.select(
+        F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label"), place.alias("rank")).where("label is not null")
+    share = min(1.0, most_rows / max(1, ranked.select("rank", "label").distinct().count()))
+    chosen = ranked.where(F.col("rank") <= min(2**63 - 1, int(share * 2**63)))
+    return chosen.groupBy("text", "label", "rank").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def fit(
+    labelled: DataFrame, text: str = "text", label: str = "label", most_rows: int = MOST_ROWS, rank: str | None = None,
+) -> np.ndarray:
+    """Weights from at most about ``most_rows`` different rows with a 0/1 label; zero weights if there are none.
 
-    The bound is the operator's only sample: with more labelled rows, those with the smallest hash of
-    their text are taken, so that a text of many copies does not crowd out others by chance. Order
-    follows the same hash, so reruns agree.
+    The bound of ``training_rows`` is the operator's only sample; copies of a row that is taken all
+    count. Order follows the hash of the text, so reruns agree.
     """
-    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("label is not null")
-    ranked = rows.withColumn("rank", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1))
-    share = min(1.0, most_rows / max(1, rows.count()))
-    chosen = ranked.where(F.col("rank") <= min(2**63 - 1, int(share * 2**63))).repartition(1).sortWithinPartitions("rank", "label")
+    chosen = training_rows(labelled, text, label, most_rows, rank).repartition(1).sortWithinPartitions("rank", "label", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+        rows, labels, copies = [], [], []
         for batch in batches:
             rows.extend((at.astype(np.int32), x.astype(np.float32)) for at, x in sparse_rows(batch.column(0)))
             labels.extend(batch.column(1).to_pylist())
-        w = train(iter(rows), np.array(labels))
+            copies.extend(batch.column(2).to_pylist())
+        w = train(iter(rows), np.array(labels), copies=np.array(copies))
         where = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(w[where], pa.float32())], ["at", "w"])
 
-    learned = chosen.select("text", "label").mapInArrow(learn, "at int, w float").toPandas()
+    learned = chosen.select("text", "label", "copies").mapInArrow(learn, "at int, w float").toPandas()
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[learned["at"].to_numpy()] = learned["w"].to_numpy()
     return weights

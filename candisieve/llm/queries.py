@@ -115,7 +115,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     held_out = fold(F.col("doc_id"), 5) == 0
-    weights = quality.fit(docs.where(~held_out).join(labels.where("label is not null"), "doc_id"))
+    # The order of the sample is taken before the join, so that its count does not move the texts.
+    ranked = docs.where(~held_out).withColumn("rank", quality.text_rank(F.col("text")))
+    weights = quality.fit(ranked.join(labels.where("label is not null"), "doc_id"), rank="rank")
     return quality.score_quality(docs, weights).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -87,6 +87,23 @@ def test_quality_is_learned(spark):
     assert not quality.fit(table.where("label is null")).any()
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    rows = [("copied text", 1)] * 3_000 + [("copied text", 0)] + [(f"text {i}", i % 2) for i in range(200)]
+    table = spark.createDataFrame(rows, "text string, label int")
+    taken = {(r.text, r.label): r.copies for r in quality.training_rows(table, most_rows=250).collect()}
+    assert len(taken) == 202 and taken["copied text", 1] == 3_000 and sum(taken.values()) == len(rows)
+    # Only 100 places: about half of the different texts, whichever way the copied one falls.
+    assert 50 < quality.training_rows(table, most_rows=100).count() < 150
+
+
+def test_copies_are_learned_as_single_rows_are():
+    rows = [(np.array([1, 2, 9]), np.array([4.0, 6.0, 1.0])), (np.array([2, 3, 9]), np.array([5.0, 5.0, 1.0]))]
+    once = quality.train(iter([rows[0]] * 5 + [rows[1]]), np.array([1] * 5 + [0]))
+    assert (quality.train(iter(rows), np.array([1, 0]), copies=np.array([5, 1])) == once).all()
+    many = quality.train(iter(rows), np.array([1, 0]), copies=np.array([10**7, 1]))
+    assert np.isfinite(many).all() and many[1] > 0 > many[3]
+
+
 def test_word_hashes_know_their_text():
     texts = ["A b\tc", "", "  b ", "c", "a\x0bb"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
