@@ -74,11 +74,11 @@ def place_sources(
     weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES,
     share: float = SHARE, passes: int = MOST_PASSES,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken, copies, position, last_position``.
+    """One row per document: ``doc_id, source, size, source_size, target, taken, copies, position, last_position, positions``.
 
     ``copies`` counts the passes that take words from the document and ``taken`` counts the words the mix takes from the document over all passes; the last pass ends
     inside the document at which the target is met. ``position`` is the training time of the first
-    copy and ``last_position`` that of the last, null where nothing is taken.
+    copy, ``last_position`` that of the last, null where nothing is taken, and ``positions`` those of all.
 
     Order within a source is by a hash of the key, then the key, so reruns agree. Null sources form
     one source after all others; null or empty texts have size 0 and are taken 0 times; repeated
@@ -113,7 +113,8 @@ def place_sources(
     return (counted.withColumn("copies", copies)
             .select("doc_id", "source", "size", "source_size", "target", "taken", "copies",
                     F.when(F.col("taken") > 0, at(F.lit(0))).alias("position"),
-                    F.when(F.col("taken") > 0, at(F.col("copies") - 1)).alias("last_position")))
+                    F.when(F.col("taken") > 0, at(F.col("copies") - 1)).alias("last_position"),
+                    F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), at)).alias("positions")))
 
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
@@ -122,7 +123,7 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     The id is part of the ranges, so documents without a position do not meet in one task.
     """
     order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
-    return place_sources(docs, **settings).repartitionByRange(*order).sortWithinPartitions(*order)
+    return place_sources(docs, **settings).drop("positions").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -133,9 +134,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     mix = place_sources(docs, **settings)
     whole = F.floor((F.col("taken") + F.col("size") / 2) / F.greatest("size", F.lit(1))).cast("int")
-    plan = mix.groupBy("doc_id").agg(F.max(whole).alias("_times"), F.min("position").alias("_first"), F.max("last_position").alias("_last"))
+    plan = mix.groupBy("doc_id").agg(F.max(whole).alias("_times"), F.min("position").alias("_first"), F.max("last_position").alias("_last"),
+                                     F.max_by("positions", "last_position").alias("_all"))
     plan = plan.withColumnRenamed("doc_id", "_key").where("_times > 0")
     served = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_key"]))
-    copies = F.explode(F.slice(F.array("_first", F.when(F.col("_times") > 1, F.col("_last"))), F.lit(1), F.col("_times")))
+    # One position for each pass; rows that repeat a doc_id may be in fewer passes than the id is served.
+    nth = lambda i: F.when(i == 0, F.col("_first")).otherwise(F.coalesce(F.get("_all", i), F.col("_last")))
+    copies = F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), nth))
     return served.withColumn("_at", copies).repartitionByRange("_at").sortWithinPartitions("_at", "doc_id").select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -103,6 +103,14 @@ def test_targets_meet_bounds_and_shares(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_every_pass_serves_its_copy(spark):
+    table = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("only").alias("source"))
+    for passes in (2, 3, 4):
+        settings = dict(weights=(1,), slopes=(0.0,), share=float(passes), passes=passes)
+        served = [r.doc_id for r in mixing.mixed_documents(table, **settings).collect()]
+        assert len(served) == 40 * passes and all(served[k] == served[k + 40] for k in range(40 * (passes - 1)))
+
+
 def test_positions_follow_the_schedule(spark):
     table = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("only").alias("source"))
     got = mixing.mix_sources(table, weights=(1,), slopes=(0.5,), share=1.0)
