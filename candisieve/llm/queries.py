@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candisieve.llm import ann, exact_dedup, html_extract, jaccard_join, language_id, mixing, pii, piece_bpe, quality, warc
+from candisieve.llm import (
+    ann, collocations, exact_dedup, html_extract, jaccard_join, language_id, mixing, pii, piece_bpe, quality, sharding, warc, whitening)
 from candisieve.llm.common import fold
 
 
@@ -144,6 +145,65 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+# A record's place follows from hashes, so the shards can be found by sorting all records. The checksum
+# goes through the bytes by a table of 256 remainders, which x builds by its rule.
+OP11_SQL = r"""
+WITH RECURSIVE b(v, c, k) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL
+  SELECT v, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM b WHERE k < 8),
+x AS (SELECT list(c ORDER BY v) AS tab FROM b WHERE k = 8),
+h AS (SELECT DISTINCT coalesce(text, '') AS body FROM documents),
+y AS (SELECT body, list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(body)),
+             lambda j: CAST('0x' || substr(hex(body), 2 * j + 1, 2) AS BIGINT))) AS bytes FROM h),
+z AS (SELECT body, xor(list_reduce(bytes, lambda c, v: xor(c // 256, tab[xor(c, v) % 256 + 1])), 4294967295) AS crc FROM y, x),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS body,
+                  substr(md5(coalesce(text, '')), 1, 16) AS t, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS i FROM documents),
+o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY t, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+             sum(size) OVER (PARTITION BY t) AS group_size, sum(size) OVER () AS total FROM d),
+g AS (SELECT *, min(ahead) OVER (PARTITION BY t) AS group_ahead FROM o),
+s AS (SELECT *, CAST(CASE WHEN group_size * 8 * 64 <= total THEN (2 * group_ahead + group_size) * 8 // (2 * total)
+                     ELSE (2 * ahead + size) * 8 // (2 * total) END AS INTEGER) AS shard FROM g)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY t, i) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s JOIN z USING (body)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+g AS (SELECT lang, m, array_to_string(ws[k:k + m - 1], ' ') AS phrase
+      FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * k.a) // (x.f + y.f) AS BIGINT) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+             JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a AS longer, array_to_string(ws[p:p + z - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, m - z + 2)) AS p FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2))),
+h AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY ALL),
+t AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -152,5 +212,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_warc, op3_html_extraction, op4_source_mixing, op5_personal_data, op6_nearest_neighbours,
-    op7_jaccard_join, op8_quality, op9_sentencepiece, op10_exact_dedup, pipeline)}
-CHECKS = {"op2_warc": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    op7_jaccard_join, op8_quality, op9_sentencepiece, op10_exact_dedup, op11_sharding,
+    op12_collocations, op13_whitening, pipeline)}
+CHECKS = {"op2_warc": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL,
+          "op11_sharding": OP11_SQL, "op12_collocations": OP12_SQL}
