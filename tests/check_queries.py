@@ -39,7 +39,7 @@ def compare(name: str, df, con, sql: str) -> tuple[bool, str, int]:
     duck_cols = [d[0] for d in result.description]
     duck_types = {d[0]: str(d[1]) for d in result.description}
     duck_cols, right = _rows(duck_cols, result.fetchall())
-    want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
     types = [f"{c}: {t} / {duck_types.get(c)}" for c, t in df.dtypes if want.get(t) != duck_types.get(c)]
     n = sum(left.values())
     if spark_cols != duck_cols:
