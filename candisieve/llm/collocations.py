@@ -5,22 +5,23 @@ words whose leaves are hash containers of the remaining ids; a container that gr
 into one container per next word. When the trie is full, whole subtrees leave it as sorted runs. Runs
 meet in partitions by prefix, the phrase's first two words, and are summed there.
 
-Phrases of one length follow those of the one before: a phrase reaches the least count only if both
-phrases within it do. Counted phrases set bits of a filter of fixed size, and a task counts only
-phrases whose both parts have their bits set. The filter lets some others pass, never loses one, and
-the sums decide; so counts are exact.
+Words are counted first, then pairs, then longer phrases: a phrase reaches the least count only if all
+phrases within it do. Counted words, and later pairs, set bits of a filter of fixed size, and a task
+counts only phrases all of whose words, or pairs, have their bits set. The filter lets some others
+pass, never loses one, and the sums decide; so counts are exact.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candisieve.functions.topk import top_k_per_key
@@ -34,36 +35,76 @@ NO_LANG = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 # Bytes counted at once, entries and words a task's trie holds, and entries at which a container bursts.
-BLOCK_BYTES, MOST_ENTRIES, MOST_VOCABULARY, BURST = 1 << 20, 600_000, 600_000, 4_096
+BLOCK_BYTES, MOST_ENTRIES, MOST_VOCABULARY, BURST = 1 << 20, 500_000, 400_000, 4_096
 # The filter has at most this many bits, and a share of them for each phrase that is counted in it.
 FILTER_BITS, BITS_A_PHRASE, PAGE_BITS = 1 << 27, 16, 32_768
 RUN_ROWS = 50_000
 
-_END = 0
 _FOLD = bytes(bytearray(b"\n"[0] if c in PIECE_ENDS else c + 32 if 65 <= c <= 90 else 32 if c in BLANKS else c for c in range(256)))
-_TOKEN = re.compile(rb"[^ \n]+|\n")
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
 
 
-class Vocabulary(dict):
-    """Ids of words in order of appearance; id 0 is the end of a piece."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base to the powers from 0 up, and its inverse, modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[name] = np.multiply.accumulate(factors)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def words_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of a folded block: its 64-bit hash, start, end, and the number of pieces before it.
+
+    A hash is a polynomial in the word's bytes, taken as the difference of two running sums. In a
+    block with a word longer than a block the words are hashed one by one, a stretch at a time.
+    """
+    raw = np.frombuffer(block, np.uint8)
+    blank = (raw == 32) | (raw == 10)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    pieces = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    up, down = _powers(2 * BLOCK_BYTES)
+    values = raw.astype(np.uint64) + np.uint64(1)
+    if len(raw) <= len(up):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(values * up[: len(raw)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * down[starts]
+    else:
+        found = np.zeros(len(starts), np.uint64)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
+            total = 0
+            for at in range(lo, hi, len(up)):
+                part = values[at: min(hi, at + len(up))]
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - lo, 1 << 64)
+            found[k] = total % (1 << 64)
+    return mix(mix(found) + (ends - starts).astype(np.uint64)), starts, ends, pieces
+
+
+class Vocabulary:
+    """Ids of words in order of appearance."""
 
     def __init__(self):
-        super().__init__({b"\n": _END})
-        self.words = [b"\n"]
-        self.hashes = np.zeros(1024, np.uint64)
+        self.ids: dict[int, int] = {}
+        self.words: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.words)
-        self.words.append(word)
-        if at >= len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(len(self.hashes), np.uint64)])
-        self.hashes[at] = xxhash.xxh3_64_intdigest(word)
-        return at
+    def number(self, block: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        codes, different = pd.factorize(hashes)
+        first = np.empty(len(different), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        own = list(map(self.ids.get, different.tolist()))
+        for k, at in enumerate(own):
+            if at is None:
+                own[k] = self.ids[int(different[k])] = len(self.words)
+                self.words.append(block[starts[first[k]]: ends[first[k]]])
+        return np.array(own, np.int64)[codes]
 
 
 def step(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
     """Hashes of phrases that are longer by the following word."""
-    return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + following)
+    return mix(hashes * np.uint64(_BASE) + following)
 
 
 def chain(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -95,16 +136,16 @@ class Filter:
 
 
 class PhraseTrie:
-    """Counts of phrases of one length, as ids.
+    """Counts of phrases of one length, as ids below 2**32.
 
     The root maps a first word to a hash container, keyed by the ids of the remaining words in one
     number; a container over ``BURST`` entries bursts into a node that maps the second word to
-    containers of the rest. Phrases of one or two words need no deeper node.
+    containers of the rest. Phrases of two words need no deeper node.
     """
 
     def __init__(self, words: int):
         self.words = words
-        self.below = 32 * max(0, words - 2)
+        self.below = 32 * (words - 2)
         self.root: dict[int, dict[int, int]] = {}
         self.burst: dict[int, dict[int, dict[int, int]]] = {}
         self.entries = 0
@@ -136,22 +177,43 @@ class PhraseTrie:
             node[key >> self.below][key & ((1 << self.below) - 1)] = count
         self.burst[one] = dict(node)
 
-    def sizes(self) -> dict[int, int]:
-        return {one: len(held) for one, held in self.root.items()} | {
+    def largest(self, share: float) -> list[int]:
+        """The first words of the largest subtrees, up to this share of all entries."""
+        sizes = {one: len(held) for one, held in self.root.items()} | {
             one: sum(map(len, node.values())) for one, node in self.burst.items()}
-
-    def take(self, one: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Empty the subtree of a first word: its phrases as ids, with their counts."""
-        if one in self.root:
-            found = [(key, count) for key, count in self.root.pop(one).items()]
-        else:
-            found = [(second << self.below | key, count) for second, held in self.burst.pop(one).items() for key, count in held.items()]
-        self.entries -= len(found)
-        for key, count in found:
-            yield (one, *(key >> 32 * k & 0xFFFFFFFF for k in range(self.words - 2, -1, -1))), count
-
-
-def text_stream(texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
+        leaving, rest = [], self.entries * share
+        for one in sorted(sizes, key=sizes.get, reverse=True):
+            if rest <= 0:
+                break
+            leaving.append(one)
+            rest -= sizes[one]
+        return leaving
+
+    def take(self, leaving: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Empty the subtrees of some first words: their phrases as rows of ids, and the counts."""
+        firsts, seconds, keys, counts, sizes = [], [], [], [], []
+        for one in leaving:
+            for second, held in ([(None, self.root.pop(one))] if one in self.root else self.burst.pop(one).items()):
+                firsts.append(one)
+                sizes.append(len(held))
+                counts.extend(held.values())
+                if second is not None:
+                    seconds.extend([second] * len(held))
+                    keys.extend(held)
+                elif self.below:
+                    low = (1 << self.below) - 1
+                    seconds.extend([key >> self.below for key in held])
+                    keys.extend([key & low for key in held])
+                else:
+                    seconds.extend(held)
+        self.entries -= len(counts)
+        columns = [np.repeat(np.array(firsts, np.int64), sizes), np.array(seconds, np.int64)]
+        for k in range(self.words - 3, -1, -1):
+            columns.append(np.array([key >> 32 * k & 0xFFFFFFFF for key in keys], np.int64))
+        return np.array(columns), np.array(counts, np.int64)
+
+
+def text_stream(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
     """Folded bytes in blocks that end between words, and whether a block goes on with the text before it."""
     held: list[bytes] = []
     size = 0
@@ -179,105 +241,138 @@ def text_stream(texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
         yield b"\n".join(held), False
 
 
-def counted_phrases(ids: np.ndarray, vocabulary: Vocabulary, words: int, lang: np.uint64, known: Filter | None):
-    """``first, rest, counts`` of the phrases of a row of ids that can reach the least count."""
-    if len(ids) < words:
-        return [], [], []
-    inside = ids != _END
-    whole = inside[words - 1:].copy()
-    for k in range(words - 1):
-        whole &= inside[k: len(ids) - words + 1 + k]
-    if known is not None:
-        part = known.holds(chain(vocabulary.hashes[ids], words - 1), lang)
-        whole &= part[:-1] & part[1:]
-    at = np.flatnonzero(whole)
-    if not len(at):
-        return [], [], []
-    # Equal rows of ids become one: the running rank of the words before is packed with the next word.
-    packed = ids[at].astype(np.uint64)
-    firsts = None
+def counted_phrases(ids: np.ndarray, starts: np.ndarray, words: int):
+    """``first, rest, counts`` of the different phrases that start at given places in a row of ids."""
+    packed = ids[starts].astype(np.uint64)
     for k in range(1, words):
-        if k > 1:
+        if k > 1:  # the rank of the words before is packed with the next word
             _, packed = np.unique(packed, return_inverse=True)
             packed = packed.astype(np.uint64)
-        packed = packed << np.uint64(32) | ids[at + k].astype(np.uint64)
-    _, firsts, counts = np.unique(packed, return_index=True, return_counts=True)
-    at = at[firsts]
-    rest = [0] * len(at)
-    for k in range(1, words):
+        packed = packed << np.uint64(32) | ids[starts + k].astype(np.uint64)
+    _, at, counts = np.unique(packed, return_index=True, return_counts=True)
+    at = starts[at]
+    rest = ids[at + 1].tolist()
+    for k in range(2, words):
         rest = [r << 32 | i for r, i in zip(rest, ids[at + k].tolist())]
     return ids[at].tolist(), rest, counts.tolist()
 
 
-RUN = "lang string, prefix string, rest string, n long"
+RUN = "lang string, words int, prefix string, rest string, n long"
 
 
-def phrase_runs(batches: Iterator[pa.RecordBatch], words: int, known: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Sorted runs ``lang, prefix, rest, n`` of the phrases of ``lang, text`` batches.
+class WordCounts:
+    """What a trie of single words comes to: its root is one hash container, the vocabulary, with a count for each id."""
 
-    The prefix holds the first two words. A trie and its vocabulary belong to one language; when
-    either is full, the largest subtrees leave as a run, or all of them.
+    def __init__(self):
+        self.counts = np.zeros(0, np.int64)
+
+    @property
+    def entries(self) -> int:
+        return len(self.counts)
+
+    def add(self, ids: np.ndarray) -> None:
+        seen = np.bincount(ids, minlength=len(self.counts))
+        seen[: len(self.counts)] += self.counts
+        self.counts = seen
+
+    def take(self, leaving: None) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.flatnonzero(self.counts)
+        counts, self.counts = self.counts[ids], np.zeros(0, np.int64)
+        return ids[None, :], counts
+
+
+class Counts:
+    """The tries of one language, one for each length, over one vocabulary."""
+
+    def __init__(self, lengths: tuple[int, ...]):
+        self.tries = {words: PhraseTrie(words) if words > 1 else WordCounts() for words in lengths}
+        self.vocabulary = Vocabulary()
+
+    def entries(self) -> int:
+        return sum(trie.entries for trie in self.tries.values())
+
+    def spill(self, lang: str, share: float) -> Iterator[pa.RecordBatch]:
+        """The largest subtrees leave, until this share of the entries is gone: a sorted run for each length."""
+        name = pa.array(self.vocabulary.words, pa.binary())
+        place = np.empty(len(name), np.int64)
+        place[pc.array_sort_indices(name).to_numpy()] = np.arange(len(name))
+        for words, trie in self.tries.items():
+            if not trie.entries:
+                continue
+            ids, counts = trie.take(trie.largest(share) if words > 1 else None)
+            order = np.lexsort(place[ids][::-1])
+            for lo in range(0, len(order), RUN_ROWS):
+                part = order[lo: lo + RUN_ROWS]
+                named = [name.take(pa.array(column[part])) for column in ids]
+                joined = [pc.binary_join_element_wise(*some, b" ").cast(pa.string()) if some else pa.array([""] * len(part))
+                          for some in (named[:2], named[2:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), pa.array(np.full(len(part), words, np.int32)), *joined,
+                     pa.array(counts[part])], ["lang", "words", "prefix", "rest", "n"])
+
+
+def phrase_runs(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], known: Filter | None, span: int = 1) -> Iterator[pa.RecordBatch]:
+    """Sorted runs ``lang, words, prefix, rest, n`` of the phrases of ``lang, text`` batches.
+
+    The prefix holds the first two words. ``known`` filters the phrases of ``span`` words that a
+    counted one may hold. When the tries or vocabularies of a task are full, the largest subtrees of
+    the largest language leave as runs, or all of them with their vocabulary.
     """
-    tries: dict[str, tuple[PhraseTrie, Vocabulary]] = {}
-
-    def run(lang: str, leaving: list[int]) -> Iterator[pa.RecordBatch]:
-        trie, vocabulary = tries[lang]
-        name = vocabulary.words
-        rows = sorted((b" ".join([name[i] for i in ids[:2]]), b" ".join([name[i] for i in ids[2:]]), count)
-                      for one in leaving for ids, count in trie.take(one))
-        for lo in range(0, len(rows), RUN_ROWS):
-            part = rows[lo: lo + RUN_ROWS]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(part), pa.string()),
-                pa.array([p for p, _, _ in part], pa.binary()).cast(pa.string()),
-                pa.array([r for _, r, _ in part], pa.binary()).cast(pa.string()),
-                pa.array([n for _, _, n in part], pa.int64())], ["lang", "prefix", "rest", "n"])
+    held: dict[str, Counts] = {}
+    longest = max(lengths)
 
     def relieve() -> Iterator[pa.RecordBatch]:
-        while sum(trie.entries for trie, _ in tries.values()) > MOST_ENTRIES:
-            lang = max(tries, key=lambda x: tries[x][0].entries)
-            trie, sizes, leaving, freed = tries[lang][0], tries[lang][0].sizes(), [], 0
-            for one in sorted(sizes, key=sizes.get, reverse=True):
-                if freed >= max(1, trie.entries // 2):
-                    break
-                leaving.append(one)
-                freed += sizes[one]
-            yield from run(lang, leaving)
-        while sum(len(v) for _, v in tries.values()) > MOST_VOCABULARY:
-            lang = max(tries, key=lambda x: len(tries[x][1]))
-            yield from run(lang, list(tries[lang][0].sizes()))
-            del tries[lang]
+        while sum(c.entries() for c in held.values()) > MOST_ENTRIES:
+            lang = max(held, key=lambda x: held[x].entries())
+            yield from held[lang].spill(lang, 0.5)
+        while sum(len(c.vocabulary.words) for c in held.values()) > MOST_VOCABULARY:
+            lang = max(held, key=lambda x: len(held[x].vocabulary.words))
+            yield from held.pop(lang).spill(lang, 1.0)
 
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        texts: dict[str, list[bytes]] = defaultdict(list)
-        for lang, text in zip(names, batch.column(1).cast(pa.large_binary())):
-            body = text.as_py()
-            if body:
-                texts[lang].append(body.translate(_FOLD))
-        for lang, own in texts.items():
-            seed, tail = lang_hash(lang), []
-            for block, goes_on in text_stream(own):
-                if lang not in tries:
-                    tries[lang] = (PhraseTrie(words), Vocabulary())
-                trie, vocabulary = tries[lang]
-                # A block that goes on starts with the last words before it, too few for a phrase of their own.
-                tokens = (tail if goes_on else []) + _TOKEN.findall(block)
-                tail = tokens[max(0, len(tokens) - words + 1):]
-                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-                trie.add(*counted_phrases(ids, vocabulary, words, seed, known))
+        rows: dict[str, list[int]] = defaultdict(list)
+        for k, lang in enumerate(batch.column(0).to_pylist()):
+            rows[lang].append(k)
+        texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+        for lang, own in rows.items():
+            seed, tail = lang_hash(lang), b""
+            for block, goes_on in text_stream(texts[k].as_py().translate(_FOLD) for k in own):
+                counts = held.get(lang) or held.setdefault(lang, Counts(lengths))
+                # A block that goes on starts with the last words before it, so that phrases across the cut are met;
+                # those that lie before it whole were counted there.
+                before = words_of(tail)[1].size if goes_on and tail else 0
+                block = tail + block if before else block
+                hashes, starts, ends, pieces = words_of(block)
+                tail = block[starts[max(0, len(starts) - longest + 1)]:] if len(starts) and longest > 1 else b""
+                ids = counts.vocabulary.number(block, hashes, starts, ends)
+                if len(ids) < span:
+                    continue
+                may = known.holds(chain(hashes, span), seed) if known is not None else np.ones(len(ids) - span + 1, bool)
+                for words, trie in counts.tries.items():
+                    if len(ids) < words:
+                        continue
+                    n = len(ids) - words + 1
+                    whole = may[:n] & (pieces[:n] == pieces[words - 1:])
+                    for k in range(1, words - span + 1):
+                        whole &= may[k: n + k]
+                    at = np.flatnonzero(whole)
+                    at = at[at + words > before]
+                    if words == 1:
+                        trie.add(ids[at])
+                    elif len(at):
+                        trie.add(*counted_phrases(ids, at, words))
                 yield from relieve()
-    for lang in list(tries):
-        yield from run(lang, list(tries[lang][0].sizes()))
+    for lang, counts in held.items():
+        yield from counts.spill(lang, 1.0)
 
 
-def count_phrases(docs: DataFrame, words: int, known: Filter | None = None) -> DataFrame:
-    """``lang, prefix, rest, n``: occurrences of the phrases of ``lang, text`` that the filter lets pass.
+def count_phrases(docs: DataFrame, lengths: tuple[int, ...], known: Filter | None = None, span: int = 1) -> DataFrame:
+    """``lang, words, prefix, rest, n``: occurrences of the phrases of ``lang, text`` that the filter lets pass.
 
     Whole subtrees of all tasks meet in the partition of their language and prefix.
     """
-    runs = docs.mapInArrow(lambda batches: phrase_runs(batches, words, known), RUN)
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("n").alias("n"))
+    runs = docs.mapInArrow(lambda batches: phrase_runs(batches, lengths, known, span), RUN)
+    return runs.repartition("lang", "prefix").groupBy("lang", "words", "prefix", "rest").agg(F.sum("n").alias("n"))
 
 
 def build_filter(counted: DataFrame, words: int) -> Filter:
@@ -287,8 +382,8 @@ def build_filter(counted: DataFrame, words: int) -> Filter:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [(f"{p} {r}" if r else p).encode().split(b" ") for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            each = np.array([[xxhash.xxh3_64_intdigest(w) for w in own] for own in names], np.uint64).reshape(-1, words)
+            names = b"\n".join((f"{p} {r}" if r else p).encode() for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            each = words_of(names)[0].reshape(-1, words)
             hashes = each[:, 0]
             for k in range(1, words):
                 hashes = step(hashes, each[:, k])
@@ -311,19 +406,20 @@ def phrase(prefix: Column, rest: Column) -> Column:
 
 def counted_levels(docs: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of every phrase with at least ``least`` occurrences, and ``lang, n``."""
+    passes = [(1,), (2,), tuple(range(3, most_words + 1))]
     known, levels, totals = None, None, None
-    for words in range(1, most_words + 1):
-        counted = count_phrases(docs, words, known)
-        if words == 1:
+    for k, lengths in enumerate(own for own in passes if own and own[0] <= most_words):
+        counted = count_phrases(docs, lengths, known, max(1, k))
+        if k == 0:
             counted = materialize(counted, "phrases-1")
             totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
         else:
-            counted = materialize(counted.where(F.col("n") >= least), f"phrases-{words}")
+            counted = materialize(counted.where(F.col("n") >= least), f"phrases-{lengths[0]}")
         counted = counted.where(F.col("n") >= least)
-        own = counted.select("lang", phrase(F.col("prefix"), F.col("rest")).alias("phrase"), F.lit(words).alias("words"), F.col("n").alias("f"))
+        own = counted.select("lang", phrase(F.col("prefix"), F.col("rest")).alias("phrase"), "words", F.col("n").alias("f"))
         levels = own if levels is None else levels.unionByName(own)
-        if words < most_words:
-            known = build_filter(counted, words)
+        if lengths[0] < min(most_words, 3):
+            known = build_filter(counted, lengths[0])
     return levels, totals
 
 

@@ -62,20 +62,21 @@ def test_phrases_are_those_of_a_plain_count(spark, monkeypatch, seed, small):
         for name, value in (("BLOCK_BYTES", 40), ("MOST_ENTRIES", 50), ("MOST_VOCABULARY", 20), ("BURST", 3), ("RUN_ROWS", 7)):
             monkeypatch.setattr(collocations, name, value)
         import pyarrow as pa
-        for words in (1, 2, 3, 4):
+        for lengths in ((1,), (2,), (3, 4)):
             batch = pa.RecordBatch.from_arrays([pa.array([r[0] or "und" if r[0] is None else r[0] for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
             runs, seen = [], Counter()
-            for run in collocations.phrase_runs(iter([batch]), words, None):
+            for run in collocations.phrase_runs(iter([batch]), lengths, None):
                 rows_of = list(zip(*[c.to_pylist() for c in run.columns]))
                 assert len(rows_of) <= 7 and rows_of == sorted(rows_of)
                 runs.append(rows_of)
-                for lang, prefix, rest, n in rows_of:
+                for lang, words, prefix, rest, n in rows_of:
+                    assert words in lengths
                     seen[lang, f"{prefix} {rest}".strip()] += n
             want = Counter()
             for lang, text in rows:
                 for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
                     own = re.findall(r"[^\x20\x09]+", piece)
-                    want.update(("und" if lang is None else lang, " ".join(own[k: k + words])) for k in range(len(own) - words + 1))
+                    want.update(("und" if lang is None else lang, " ".join(own[k: k + words])) for words in lengths for k in range(len(own) - words + 1))
             assert seen == want and len(runs) > 20
     else:
         assert got(collocations.mine_phrases(docs)) == plain(rows)
