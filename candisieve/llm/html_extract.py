@@ -9,6 +9,7 @@ no article text.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from candisieve.session import materialize
 
 # A subtree is a template if it recurs on at least so many different pages of a host and on this share of
-# them, or on so many pages whatever their share, so that a hot host's sections do not ask for ever more.
+# them; outside articles also on so many pages whatever their share, so that a hot host's sections do not ask
+# for ever more. Lines that many articles share stay in them at every size of the host.
 LEAST_PAGES, SHARE, MANY_PAGES = 5, 0.3, 1_000
 
 # Fixed values of HTML: elements without content, with raw content, inside a line of text, and
@@ -61,12 +63,73 @@ CODE = frozenset("script style title textarea".split())
 # Levels of content: an article in a dropped element, plain, in a main part, in an article.
 RESCUED, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+_SPECIAL = re.compile(r"""[>"']""")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+def decoded(raw: str) -> str:
+    """Character references decoded; numbers too large for any character give the stand-in, at every length."""
+    return unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", raw)) if "&#" in raw else raw)
+
+
+class Tags:
+    """The tags of a page in order, in time linear in its length however broken it is.
+
+    A tag ends at the first ``>`` outside quotes; a quote that is never closed is none, and a ``<``
+    without such an end is text. What a failed look for an end has seen is remembered, so it is not
+    searched again from the next ``<``.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_end = html.rfind(">")
+        self.last = {quote: html.rfind(quote) for quote in "\"'"}
+        self.special: tuple[int, int] = (0, -1)
+        self.dead: set[int] = set()
+
+    def next_special(self, at: int) -> int:
+        """The next ``>`` or quote."""
+        if not self.special[0] <= at <= self.special[1]:
+            found = _SPECIAL.search(self.html, at)
+            self.special = (at, found.start() if found else len(self.html))
+        return self.special[1]
+
+    def end(self, at: int) -> int:
+        met = []
+        while True:
+            at = self.next_special(at)
+            if at > self.last_end or at in self.dead:
+                self.dead.update(met)
+                return -1
+            char = self.html[at]
+            if char == ">":
+                return at
+            met.append(at)
+            at = (self.html.find(char, at + 1) if at < self.last[char] else at) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """``start, after, name, attributes, closing`` of the next tag; comments and declarations have no name."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                stop = html.find("-->", start + 4)
+                return start, stop + 3 if stop >= 0 else len(html), "", "", False
+            if start > self.last_end:
+                if (comment := html.find("<!--", start)) < 0:
+                    return None
+                at = comment
+            elif html[at] in "!?":
+                return start, html.index(">", start) + 1, "", "", False
+            elif (name := _NAME.match(html, start)) and (stop := self.end(name.end())) >= 0:
+                return start, stop + 1, name.group(2).lower(), html[name.end(): stop], bool(name.group(1))
+        return None
+
+
 def named_away(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is no article text by its kind, names or role."""
     if tag in KEPT:
@@ -109,8 +172,9 @@ class Page:
         self.title = ""
         self.line: list[str] = []
         self.html = html
+        self.tags = Tags(html)
         self.ends: dict[str, re.Match | None] = {}
-        self.open_kinds: dict[str, bool] = {}
+        self.open_kinds: Counter[str] | None = None
         self.lenient = self.any_text = self.any_lost = self.any_article = False
         self.read_all()
         if self.any_lost and not self.any_text:
@@ -121,6 +185,10 @@ class Page:
         # Open elements: kind, whether dropped (1 by an outer element, 2 by itself), first block, parts
         # of the hash, level of content.
         self.open: list[tuple[str, int, int, list[bytes], int]] = [("", 0, 0, [], PLAIN)]
+        # Where open elements of a kind stand, and those dropped by themselves; articles that are not dropped.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.dropped_places: dict[str, list[int]] = defaultdict(list)
+        self.articles = 0
         self.ends.clear()
         self.read(self.html)
         while len(self.open) > 1:
@@ -129,40 +197,40 @@ class Page:
 
     def unclosed(self, tag: str) -> bool:
         """Whether the page opens more elements of a kind than it closes."""
-        if tag not in self.open_kinds:
-            starts, ends = (len(re.findall(rf"<{slash}{re.escape(tag)}[\s/>]", self.html, re.I)) for slash in ("", "/"))
-            self.open_kinds[tag] = starts > ends
-        return self.open_kinds[tag]
+        if self.open_kinds is None:
+            self.open_kinds = Counter()
+            for slash, kind in _NAME.findall(self.html):
+                self.open_kinds[kind.lower()] += -1 if slash else 1
+        return self.open_kinds[tag] > 0
 
     def end_tag(self, tag: str, at: int) -> re.Match | None:
         """The next end tag of a kind; the page is searched once up to each."""
         if tag not in self.ends or ((found := self.ends[tag]) and found.start() < at):
-            self.ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.html, at)
+            self.ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.html, at, self.tags.last_end + 1)
         return self.ends[tag]
 
     def read(self, html: str) -> None:
         at, n = 0, len(html)
         while at < n:
-            tag = _TAG.search(html, at)
+            tag = self.tags.next(at)
             if tag is None:
                 self.text(html[at:])
                 return
-            if tag.start() > at:
-                self.text(html[at: tag.start()])
-            at = tag.end()
-            name = tag.group(2)
-            if name is None:
+            start, after, name, attributes, closing = tag
+            if start > at:
+                self.text(html[at:start])
+            at = after
+            if not name:
                 continue
-            name = name.lower()
-            if tag.group(1):
+            if closing:
                 self.end(name)
                 continue
-            if name in RAW and not tag.group(3).endswith("/"):
+            if name in RAW and not attributes.endswith("/"):
                 stop = self.end_tag(name, at)
                 end, after = stop.span() if stop else (n, n)
                 if stop is None:
-                    following = _TAG.search(html, at) if name in CODE else None
-                    end = after = following.start() if following else n if name in CODE else at
+                    following = self.tags.next(at) if name in CODE else None
+                    end = after = following[0] if following else n if name in CODE else at
                 elif name in BREAKS and (early := BREAKS[name].search(html, at, end)) and not FOREIGN.search(html, at, early.start()):
                     end = after = early.start()
                 if name == "title" and not self.title:
@@ -175,7 +243,7 @@ class Page:
             if name == "form":
                 stop = self.end_tag(name, at)
                 body = 2 * ((stop.start() if stop else n) - at) > n
-            self.start(name, tag.group(3), body)
+            self.start(name, attributes, body)
 
     def text(self, piece: str) -> None:
         if not self.open[-1][1]:
@@ -189,7 +257,7 @@ class Page:
             return
         raw = "".join(self.line)
         self.line = []
-        block = " ".join((unescape(raw) if "&" in raw else raw).split())
+        block = " ".join((decoded(raw) if "&" in raw else raw).split())
         if block:
             _, _, _, parts, level = self.open[-1]
             parts.append(block.encode("utf-8", "replace"))
@@ -223,8 +291,8 @@ class Page:
             self.end_open_dropped()
         _, dropped, _, _, level = self.open[-1]
         if dropped and tag == "article":
-            reasons = {kind for kind, gone, *_ in self.open if gone == 2}
-            again = any(kind == "article" and not gone for kind, gone, *_ in self.open)
+            reasons = {kind for kind, held in self.dropped_places.items() if held}
+            again = self.articles > 0
             gone = int(again)
             inside = PLAIN if again else ARTICLE if reasons == {"form"} else RESCUED
         else:
@@ -234,37 +302,39 @@ class Page:
                       else max(level, MAIN) if main else level)
         if inside == ARTICLE:
             self.any_article = True
-        self.open.append((tag, gone, len(self.blocks), [], inside))
+        # Inline elements add to the hash of what holds them.
+        parts = self.open[-1][3] if tag in INLINE and not gone and not dropped else []
+        self.places[tag].append(len(self.open))
+        if gone == 2:
+            self.dropped_places[tag].append(len(self.open))
+        self.articles += tag == "article" and not gone
+        self.open.append((tag, gone, len(self.blocks), parts, inside))
 
     def end_open_dropped(self) -> None:
         """End dropped elements that have no end of their own, before the page's first article."""
         if self.any_article:
             return
-        for k, (tag, gone, *_) in enumerate(self.open):
-            if gone == 2 and self.unclosed(tag):
-                while len(self.open) > k:
-                    self.close()
-                return
+        first = min((held[0] for tag, held in self.dropped_places.items() if held and self.unclosed(tag)), default=0)
+        while first and len(self.open) > first:
+            self.close()
+
+    def last_place(self, kinds: tuple[str, ...]) -> int:
+        return max((self.places[kind][-1] for kind in kinds if self.places.get(kind)), default=0)
 
     def implied_end(self, group: tuple[str, ...], walls: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in group:
-                while len(self.open) > k:
-                    self.close()
-                if len(group) == 1:
-                    return
-            elif self.open[k][0] in walls:
+        while (k := self.last_place(group)) and (k > self.last_place(walls) or any(self.open[k][0] == wall for wall in walls)):
+            while len(self.open) > k:
+                self.close()
+            if len(group) == 1:
                 return
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.flush()
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.close()
-                return
+        k = self.last_place((tag,))
+        while k and len(self.open) > k:
+            self.close()
 
     def close(self) -> None:
         """Close the innermost element: hash its subtree and delete it if it is a template's."""
@@ -272,7 +342,11 @@ class Page:
         if tag not in INLINE:
             self.flush()
         parts = self.open.pop()[3]
-        if dropped or not parts:
+        self.places[tag].pop()
+        if dropped == 2:
+            self.dropped_places[tag].pop()
+        self.articles -= tag == "article" and not dropped
+        if dropped or not parts or tag in INLINE and parts is self.open[-1][3]:
             return
         if tag in INLINE:
             self.open[-1][3].extend(parts)
@@ -345,7 +419,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
     by_title = F.col("inside") & (F.col("all_headings") >= least_pages)
     n = F.when(by_title, F.col("headings")).otherwise(F.col("contents"))
     of = F.when(by_title, F.col("all_headings")).otherwise(F.col("all_contents"))
-    enough = (n >= least_pages) & ((n >= of * share) | (n >= many_pages))
+    enough = (n >= least_pages) & ((n >= of * share) | (~F.col("inside") & (n >= many_pages)))
     return often.where(enough).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
