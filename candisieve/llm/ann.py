@@ -31,14 +31,26 @@ def chi_square(x: np.ndarray, degrees: int) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / factorial(i) for i in range(degrees // 2))
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors by a power of two, which changes no digit, so that no square over- or underflows; and their norms."""
+    _, power = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    even = np.ldexp(vectors, -power)
+    return even, np.sqrt(np.add.reduce(even * even, axis=-1))
+
+
+def cosines(rows: np.ndarray, norms: np.ndarray, vector: np.ndarray, norm: float) -> np.ndarray:
+    """One sum in a fixed order for each pair, so equal vectors get equal scores wherever they lie."""
+    return np.add.reduce(rows * vector, axis=1) / (norms * norm)
+
+
 class ProjectedTree:
     """A kd-tree over the projections of a block of unit vectors, kept as its leaves' rows and boxes."""
 
     def __init__(self, ids: np.ndarray, original: np.ndarray, directions: np.ndarray, leaf_rows: int = LEAF_ROWS):
-        self.ids, self.original = ids, original
-        self.unit = original / np.linalg.norm(original, axis=1, keepdims=True)
+        self.ids = ids
+        self.even, self.norms = scaled(original)
         self.directions = directions
-        points = self.unit @ directions
+        points = (self.even / self.norms[:, None]) @ directions
         self.leaves: list[np.ndarray] = []
         waiting = [np.arange(len(points))]
         while waiting:
@@ -62,8 +74,8 @@ class ProjectedTree:
         leaves the test asks how likely a row nearer than the k-th verified one would have shown by
         now; above ``confidence`` the rest stays unseen.
         """
-        unit = vector / np.linalg.norm(vector)
-        at = unit @ self.directions
+        even, norm = scaled(vector)
+        at = (even / norm) @ self.directions
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
         reach = np.einsum("ij,ij->i", gap, gap)
         order = np.argsort(reach, kind="stable")
@@ -80,7 +92,7 @@ class ProjectedTree:
             done += step
             rows = np.concatenate([self.leaves[i] for i in taken])
             rows = rows[self.ids[rows] != own_id]
-            near = self.unit[rows] @ unit
+            near = cosines(self.even[rows], self.norms[rows], even, float(norm))
             ids = np.concatenate([ids, self.ids[rows]])
             scores = np.concatenate([scores, near])
             best = np.lexsort((ids, -scores))[:k]

@@ -45,13 +45,18 @@ _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+_MOST_POWERS = 1 << 22  # kept for the next block; a longer one makes its own
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
+    held = _POWERS
+    if len(held["up"]) < n:
+        held = _POWERS if n <= _MOST_POWERS else {}
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            held[name] = np.multiply.accumulate(steps)
+    return held["up"][:n], held["down"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -114,12 +114,15 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one for each distinct text."""
+    """The rows of ``docs`` that stay, with all their columns: one for each distinct text.
+
+    Of rows that repeat both text and doc_id the one stays whose columns hash lowest, so reruns agree.
+    """
     slim = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    kept = exact_index(slim, capacity).select(F.col("keep_id").alias("_keep_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(squeeze(F.col("`text`")), 256)
-    stay = docs.withColumn("_own", own)
-    stay = stay.join(kept, (stay["_own"] == kept["_sha"]) & stay["doc_id"].eqNullSafe(kept["_keep_id"]), "inner")
-    once = Window.partitionBy("_own", "_keep_id").orderBy(F.lit(0))
-    return stay.withColumn("_again", F.row_number().over(once)).where("_again = 1").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_index(slim, capacity).select("keep_id", "text_sha256")
+    # Rows travel whole in one column, so their names cannot clash with those of the index.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("_row"), F.sha2(squeeze(F.col("`text`")), 256).alias("_own"), F.xxhash64(F.to_json(row)).alias("_mark"))
+    stay = held.join(kept, (F.col("_own") == F.col("text_sha256")) & F.col("_row")["doc_id"].eqNullSafe(F.col("keep_id")), "inner")
+    once = Window.partitionBy("_own", "keep_id").orderBy("_mark")
+    return stay.withColumn("_again", F.row_number().over(once)).where("_again = 1").select("_row.*")

@@ -21,6 +21,7 @@ ORDERS = (1, 2, 3)
 BITS = 15
 MARGIN = 0.1
 UNDETERMINED = "und"
+PIECE_BYTES = 1 << 20
 
 
 def gram_buckets(raw: np.ndarray, order: int) -> np.ndarray:
@@ -33,6 +34,12 @@ def gram_buckets(raw: np.ndarray, order: int) -> np.ndarray:
     return (value >> np.uint32(32 - BITS)).astype(np.int32)
 
 
+def long_grams(raw: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Buckets of a long text's n-grams, from pieces that overlap by one, so that what is held does not grow with it."""
+    for at in range(0, len(raw), PIECE_BYTES):
+        yield gram_buckets(raw[at: at + PIECE_BYTES + order - 1], order)[order - 1:]
+
+
 def inside(n: int, offsets: np.ndarray, order: int) -> np.ndarray:
     """Marks the bytes at which an n-gram ends that lies in one text."""
     ok = np.ones(n, bool)
@@ -71,6 +78,12 @@ class Model:
         full = np.flatnonzero(np.diff(offsets) > 0)
         if not len(full) or not self.weights.shape[1]:
             return total
+        if n == 1 and len(raw) > PIECE_BYTES:
+            for order in ORDERS:
+                for buckets in long_grams(raw, order):
+                    total += self.weights[buckets].sum(axis=0, dtype=np.float64)
+                    seen += len(buckets)
+            return total / np.sqrt(np.maximum(seen, 1))[:, None]
         for order in ORDERS:
             ok = inside(len(raw), offsets, order)
             found = self.weights[gram_buckets(raw, order)]
@@ -106,6 +119,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lo, hi, raw, offsets in text_blocks(batch.column(1)):
+                if len(raw) > PIECE_BYTES and hi - lo == 1:
+                    tally = sum(np.bincount(buckets, minlength=1 << BITS) for order in ORDERS for buckets in long_grams(raw, order))
+                    held[langs[lo]] = held.get(langs[lo], 0) + tally.astype(np.int64)
+                    continue
                 owner = np.repeat(np.arange(hi - lo), np.diff(offsets))
                 names, place = np.unique(langs[lo:hi].astype(str), return_inverse=True)
                 for order in ORDERS:
@@ -167,20 +184,20 @@ def has_letter(text: Column) -> Column:
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text has a language with a score of ``least`` at least."""
-    flagged = docs.withColumn("_letter", F.coalesce(has_letter(F.col("`text`")), F.lit(False)))
+    # Rows travel whole in one column, so their names cannot clash with the flag.
+    flagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                          F.when(has_letter(F.col("`text`")), F.col("`text`")).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
-    names = list(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
+            texts = batch.column(1)
             good = np.zeros(batch.num_rows, bool)
             if known is not None:
-                for lo, hi, raw, offsets in text_blocks(batch.column(place), 1 << 16):
+                for lo, hi, raw, offsets in text_blocks(texts, 1 << 16):
                     good[lo:hi] = known.decode(known.margins(raw, offsets))[1] >= least
-            good &= np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), bool)
-            kept = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
+            good &= np.asarray(texts.is_valid())
+            yield batch.select(["_row"]).filter(pa.array(good))
 
-    return flagged.mapInArrow(keep, docs.schema)
+    return flagged.mapInArrow(keep, flagged.select("_row").schema).select("_row.*")

@@ -26,6 +26,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def order_key(key: Column, text: Column) -> Column:
+    """The place of a row within its source; rows that repeat or lack the key are parted by their text."""
+    digest = lambda value: F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(digest(key), digest(text)).cast("binary"))
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES,
     share: float = SHARE, passes: int = MOST_PASSES,
@@ -80,7 +86,8 @@ def place_sources(
     inside the document at which the target is met. ``position`` is the training time of the first
     copy, ``last_position`` that of the last, null where nothing is taken, and ``positions`` those of all.
 
-    Order within a source is by a hash of the key, then the key, so reruns agree. Null sources form
+    Order within a source is by a hash of key and text, then the key, then the size, so reruns agree:
+    rows that are still equal are the same in every column. Null sources form
     one source after all others; null or empty texts have size 0 and are taken 0 times; repeated
     rows count as documents of their own; an empty table gives no rows.
 
@@ -88,8 +95,8 @@ def place_sources(
     about ``SLICE_ROWS`` rows, summed, and only the sums of the slices are accumulated per source.
     """
     named = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-                        word_count(F.col(f"`{text}`")).alias("size"))
-    sized = materialize(named.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
+                        word_count(F.col(f"`{text}`")).alias("size"), order_key(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("rank"))
+    sized = materialize(named, "mix-sizes")
     slices = max(1, sized.count() // SLICE_ROWS)
     unit = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
     sliced = sized.withColumn("slice", F.floor(unit * F.lit(slices) / F.lit(2**32)).cast("long"))
@@ -99,7 +106,7 @@ def place_sources(
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, slopes, share, passes)
     plan = (starts.join(targets, starts["source"].eqNullSafe(targets["source"]))
             .select(starts["source"].alias("s"), starts["slice"].alias("c"), "start", "source_size", "slope", "target"))
-    inside = Window.partitionBy("source", "slice").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     running = sliced.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = (running.join(plan, running["source"].eqNullSafe(plan["s"]) & (running["slice"] == plan["c"]))
               .withColumn("offset", F.col("start") + F.col("ahead"))
@@ -137,9 +144,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     plan = mix.groupBy("doc_id").agg(F.max(whole).alias("_times"), F.min("position").alias("_first"), F.max("last_position").alias("_last"),
                                      F.max_by("positions", "last_position").alias("_all"))
     plan = plan.withColumnRenamed("doc_id", "_key").where("_times > 0")
-    served = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_key"]))
+    # Rows travel whole in one column, so their names cannot clash with those of the plan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    served = rows.join(plan, F.col("_row")["doc_id"].eqNullSafe(F.col("_key")))
     # One position for each pass; rows that repeat a doc_id may be in fewer passes than the id is served.
     nth = lambda i: F.when(i == 0, F.col("_first")).otherwise(F.coalesce(F.get("_all", i), F.col("_last")))
     copies = F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), nth))
-    return served.withColumn("_at", copies).repartitionByRange("_at").sortWithinPartitions("_at", "doc_id").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    placed = served.select("_row", "_key", copies.alias("_at"))
+    return placed.repartitionByRange("_at").sortWithinPartitions("_at", "_key").select("_row.*")

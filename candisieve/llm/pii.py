@@ -126,6 +126,11 @@ def joined(*kinds: str) -> Column:
     return F.array_join(F.concat(*[named(kind) for kind in kinds]), ",")
 
 
+def scores(*kinds: str) -> Column:
+    """The scores of the same spans in the same order, comma-joined."""
+    return F.array_join(F.concat(*[F.transform(F.col(kind), lambda s: F.format_string("%.2f", s["score"])) for kind in kinds]), ",")
+
+
 def mask(text: Column, spans: Column, with_: str = "*") -> Column:
     """The text with each span of an ordered, disjoint array replaced by ``with_``."""
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))

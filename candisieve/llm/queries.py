@@ -30,16 +30,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes")
 
 
 OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
-     r AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+     r AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p),
+     t AS (SELECT *, n >= 100 AND page_id <> f AS again FROM r)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
-       CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
-FROM r
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN f END AS refers_to,
+       -- Each header line ends with two bytes more, an empty line ends the header, two the record.
+       CAST(strlen('WARC/1.1') + strlen('WARC-Type: revisit') + CASE WHEN again THEN 0 ELSE 1 END
+         + strlen('WARC-Record-ID: <urn:uuid:>') + 36 + strlen('WARC-Date: 2024-01-01T00:00:00Z')
+         + coalesce(strlen('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]+', ' ', 'g')) + 2, 0)
+         + strlen('WARC-Payload-Digest: sha256:') + 64 + coalesce(strlen('WARC-Page-ID: ' || CAST(page_id AS VARCHAR)) + 2, 0)
+         + CASE WHEN again THEN strlen('WARC-Refers-To: <urn:uuid:>') + 36 + strlen('WARC-Refers-To-Page-ID: ' || CAST(f AS VARCHAR))
+             + strlen('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest') + 6 ELSE 0 END
+         + strlen('Content-Type: text/html; charset=utf-8') + strlen('Content-Length: ' || CASE WHEN again THEN '0' ELSE CAST(n AS VARCHAR) END)
+         + 7 * 2 + 2 + 4 + CASE WHEN again THEN 0 ELSE n END AS BIGINT) AS record_bytes
+FROM t
 """
 
 
@@ -54,7 +64,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+             md5(md5(coalesce(CAST(doc_id AS VARCHAR), '')) || md5(coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
 v AS (SELECT *, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight,
@@ -68,7 +79,7 @@ f AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS final FR
 t AS (SELECT source, source_size, slope,
              CASE WHEN final IS NULL OR weight * final > bound THEN CAST(bound AS DOUBLE) ELSE weight * final END AS target FROM f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
-             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CAST(round(target) AS BIGINT) AS wanted FROM r),
@@ -86,7 +97,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
-        F.sha2(pii.joined(*pii.BASE), 256).alias("base_sha256"), pii.joined(*pii.KINDS).alias("spans"))
+        F.sha2(pii.joined(*pii.BASE), 256).alias("base_sha256"), pii.joined(*pii.KINDS).alias("spans"),
+        pii.scores(*pii.KINDS).alias("scores"))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
