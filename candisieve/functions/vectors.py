@@ -1,8 +1,7 @@
-"""Vector expressions, and exact top-k by inner product."""
+"""Vector expressions and embedding."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,14 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candisieve.functions.text import let
-from candisieve.functions.topk import top_k_per_key
 
 # Scores are rounded here before ranking, so the order of a sum cannot reorder ties.
 SCORE_DIGITS = 9
 
-# Queries and vectors of one block, and the scores a task holds at a time.
-BLOCK_QUERIES, BLOCK_VECTORS, MOST_SCORES = 2_048, 16_384, 4 << 20
-
 
 def as_vector(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
@@ -40,72 +35,6 @@ def max_similarity(vectors: Column, query: Column) -> Column:
     return F.array_max(F.transform(vectors, lambda v: dot(v, query)))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.nonzero(scores >= cut)[0]
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-
-
-def _search(query_ids, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a block of vectors for every query, ``MOST_SCORES`` scores at a time."""
-    step = max(1, MOST_SCORES // max(1, len(ids)))
-    frames = []
-    for lo in range(0, len(query_ids), step):
-        scores = np.round(matrix[lo: lo + step] @ vectors.T, SCORE_DIGITS)
-        best = [_best(row, ids, k) for row in scores]
-        frames.append(pd.DataFrame({
-            "job_id": np.repeat(query_ids[lo: lo + step], [len(b) for b in best]), "id": ids[np.concatenate(best)],
-            "score": np.concatenate([row[b] for row, b in zip(scores, best)])}))
-    return pd.concat(frames)
-
-
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
-
-
-def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str = "embedding",
-    query_id: str = "job_id", query_vector: str = "embedding",
-) -> DataFrame:
-    """The k vectors of highest inner product per query, exact over all vectors.
-
-    Queries and vectors meet in blocks of bounded size on both sides, at every size of
-    either; a block keeps k rows per query, and only those are shuffled again. Ties go to
-    the smaller id.
-    """
-    items = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    wanted = queries.select(F.col(query_id).alias("job_id"), F.col(query_vector).alias("q"))
-    schema = T.StructType([
-        T.StructField("job_id", wanted.schema["job_id"].dataType),
-        T.StructField("id", items.schema["id"].dataType),
-        T.StructField("score", T.DoubleType())])
-    blocks = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
-    salts = max(1, math.ceil(items.count() / BLOCK_VECTORS))
-
-    def block_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"job_id": [], "id": [], "score": []})  # block without partner
-        return _search(right["job_id"].to_numpy(), _stack(right["q"]), left["id"].to_numpy(), _stack(left["v"]), k)
-
-    def spread(key: str, parts: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-
-    def every(parts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
-    left = items.withColumn("salt", spread("id", salts)).withColumn("block", every(blocks))
-    right = wanted.withColumn("block", spread("job_id", blocks)).withColumn("salt", every(salts))
-    partial = (left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
-               .applyInPandas(block_kernel, schema))
-    return top_k_per_key(
-        partial, ["job_id"], [F.desc("score"), F.asc("id")], k, ["id"]
-    ).withColumnRenamed("id", id_col)
-
-
 def embed(
     df: DataFrame, text_col: str, load_model: Callable[[], Callable[[list[str]], np.ndarray]],
     out_col: str = "embedding",

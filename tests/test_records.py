@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from candisieve.functions import vectors as vec
+from candisieve.functions import vector_search
 from candisieve.functions.topk import top_k_per_key
 from candisieve.operators.retrieval import rrf, topk_with_fill
 from candisieve.sources import candidates as sc
@@ -50,11 +50,11 @@ def test_vector_search_paths_agree(spark, monkeypatch):
     items = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
     queries = spark.createDataFrame([(i, values[i * 7]) for i in range(20)], "job_id long, embedding array<double>")
     def run():
-        return {(r.job_id, r.vec_id, r["rank"]) for r in vec.vector_topk(items, queries, 5, "vec_id").collect()}
+        return {(r.job_id, r.vec_id, r["rank"]) for r in vector_search.vector_topk(items, queries, 5, "vec_id").collect()}
     small = run()
-    monkeypatch.setattr(vec, "BLOCK_QUERIES", 2)
-    monkeypatch.setattr(vec, "BLOCK_VECTORS", 40)
-    monkeypatch.setattr(vec, "MOST_SCORES", 60)
+    monkeypatch.setattr(vector_search, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vector_search, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(vector_search, "MOST_SCORES", 60)
     assert run() == small and len(small) == 100
 
 

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candisieve.functions import vectors as vec
+from candisieve.functions.fixed_values import FUNNEL_SIZES
 from candisieve.functions.text import term_tokens
+from candisieve.functions.vector_search import vector_topk
 from candisieve.operators import retrieval as rt
 from candisieve.session import materialize
 from workloads import testbed as tb
 from workloads.profile_queries import d_term_tokens
 from workloads.registry import d_list, query
 
-STOP = ["the", "and", "of", "to", "in", "is", "it", "that", "on", "for", "with", "by", "de", "la", "le", "les"]
+# The English stop words that lexical search leaves out unless told otherwise, as far as they are
+# words of the index. The checking SQL has its own copy; the operators take Spark's list.
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself"
+    " they them their theirs themselves what which who whom this that these those am is are was were be been being have has had"
+    " having do does did doing a an the and but if or because as until while of at by for with about against between into through"
+    " during before after above below to from up down in out on off over under again further then once here there when where why"
+    " how all any both each few more most other some such no nor not only own same so than too very s t can will just don should"
+    " now cannot could ought would").split()
+LEXICAL_DEPTH = FUNNEL_SIZES["lexical"]
 D_TOKENS = r"regexp_extract_all(lower(text), '[A-Za-z0-9_À-ÖØ-öø-ÿ]{2,}')"
 D_TERMS = f"""terms AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({D_TOKENS}) AS term FROM documents) t
   WHERE term NOT IN {d_list(STOP)})"""
@@ -33,43 +44,49 @@ D_TFIDF_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id
 
 
 def _docs(spark, sf):
-    return tb.load(spark, sf, "documents").select("doc_id", "text")
+    # The given table is one row group; dealt out before its texts are cut into words, it is not read as one task's work.
+    return tb.load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def _queries(spark, sf):
     return tb.load(spark, sf, "benchmark").select(F.col("item_id").alias("job_id"), "text")
 
 
-def _tfidf(spark, sf, k=None):
+def _tfidf(spark, sf):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
-    vocab = materialize(rt.tfidf_fit(docs, "text", STOP), "vocabulary")
-    postings = rt.tfidf_transform(docs, "doc_id", "text", vocab, STOP)
-    return docs, queries, rt.tfidf_scores(
-        postings, rt.tfidf_transform(queries, "job_id", "text", vocab, STOP), "doc_id", docs.count(), queries.count(), k)
+    vocab = materialize(rt.tfidf_fit(docs, "text"), "vocabulary")
+    postings = rt.tfidf_transform(docs, "doc_id", "text", vocab)
+    return docs, queries, postings, rt.tfidf_transform(queries, "job_id", "text", vocab)
+
+
+def _tfidf_top(spark, sf, k):
+    docs, queries, postings, wanted = _tfidf(spark, sf)
+    best, met = rt.tfidf_topk(postings, wanted, "doc_id", k, queries.count())
+    return rt.topk_with_fill(best.drop("rank"), docs, queries, "doc_id", k), met
 
 
 @query("r01_tfidf_fit", f"WITH {D_TERMS}, {D_VOCAB} SELECT term, total, df, round(idf, 6) AS idf FROM vocab")
 def r01(spark, sf):
-    return rt.tfidf_fit(_docs(spark, sf), "text", STOP).select("term", "total", "df", F.round("idf", 6).alias("idf"))
+    return rt.tfidf_fit(_docs(spark, sf), "text").select("term", "total", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r02_tfidf_transform", f"WITH {D_TERMS}, {D_VOCAB}, {D_POSTINGS} SELECT doc_id, term, round(weight, 6) AS weight FROM postings")
 def r02(spark, sf):
     docs = _docs(spark, sf)
-    out = rt.tfidf_transform(docs, "doc_id", "text", rt.tfidf_fit(docs, "text", STOP), STOP)
+    out = rt.tfidf_transform(docs, "doc_id", "text", rt.tfidf_fit(docs, "text"))
     return out.withColumn("weight", F.round("weight", 6))
 
 
 @query("r03_tfidf_scores", f"{D_TFIDF}, {D_TFIDF_SCORES} SELECT job_id, doc_id, round(score, 6) AS score FROM scores")
 def r03(spark, sf):
-    return _tfidf(spark, sf)[2].withColumn("score", F.round("score", 6))
+    docs, queries, postings, wanted = _tfidf(spark, sf)
+    return rt.tfidf_scores(postings, wanted, "doc_id", docs.count(), queries.count()).withColumn("score", F.round("score", 6))
 
 
 @query("r04_tfidf_top", f"""{D_TFIDF}, {D_TFIDF_SCORES}, {D_TFIDF_RANKED}
-SELECT job_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 800""")
+SELECT job_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {LEXICAL_DEPTH}""")
 def r04(spark, sf):
-    docs, queries, scores = _tfidf(spark, sf, 800)
-    return rt.topk_with_fill(scores, docs, queries, "doc_id", 800).withColumn("score", F.round("score", 6))
+    return _tfidf_top(spark, sf, LEXICAL_DEPTH)[0].withColumn("score", F.round("score", 6))
 
 
 def _load_text_statistics():
@@ -113,7 +130,7 @@ def _vector_queries(spark, sf):
 @query("r07_vector_top", f"""WITH {D_VECTOR_QUERIES}, {D_VECTOR_RANKED}
 SELECT job_id, vec_id, round(score, 6) AS score, rank FROM vranked WHERE rank <= 50""")
 def r07(spark, sf):
-    out = vec.vector_topk(tb.load(spark, sf, "embeddings"), _vector_queries(spark, sf), 50, "vec_id")
+    out = vector_topk(tb.load(spark, sf, "embeddings"), _vector_queries(spark, sf), 50, "vec_id")
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -124,9 +141,8 @@ SELECT job_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() O
   SELECT job_id, id, 1.0::DOUBLE / (60 + coalesce(a.rank, 100000)) + 1.0::DOUBLE / (60 + coalesce(b.rank, 100000)) AS score
   FROM a FULL JOIN b USING (job_id, id)) x) y WHERE rank <= 40""")
 def r08(spark, sf):
-    docs, queries, scores = _tfidf(spark, sf, 80)
-    a = rt.topk_with_fill(scores, docs, queries, "doc_id", 80).withColumnRenamed("doc_id", "id")
-    b = vec.vector_topk(tb.load(spark, sf, "embeddings"), _vector_queries(spark, sf), 80, "vec_id").withColumnRenamed("vec_id", "id")
+    a = _tfidf_top(spark, sf, 80)[0].withColumnRenamed("doc_id", "id")
+    b = vector_topk(tb.load(spark, sf, "embeddings"), _vector_queries(spark, sf), 80, "vec_id").withColumnRenamed("vec_id", "id")
     return rt.rrf(a, b, "id", 40).withColumn("score", F.round("score", 9))
 
 
@@ -166,8 +182,8 @@ def r10(spark, sf):
     LEFT JOIN scores s ON s.job_id = b.item_id AND s.doc_id = d.doc_id) x) y WHERE rank <= 100""")
 def r11(spark, sf):
     docs, queries = _bm25_inputs(spark, sf)
-    scores = rt.bm25_scores(docs, "doc_id", queries, k=100)
-    return rt.topk_with_fill(scores, docs, queries, "doc_id", 100).withColumn("score", F.round("score", 6))
+    best = rt.bm25_topk(docs, "doc_id", queries, 100)[0].drop("rank")
+    return rt.topk_with_fill(best, docs, queries, "doc_id", 100).withColumn("score", F.round("score", 6))
 
 
 # Vectors of candidates and jobs by key arithmetic over the embeddings table.

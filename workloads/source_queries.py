@@ -13,7 +13,7 @@ from candisieve.sources import results as sr
 from candisieve.sources.synonyms import parse_synonyms
 from workloads import testbed as tb
 from workloads.profile_queries import D_BM25_TEXT, d_term_tokens
-from workloads.registry import d_norm, query
+from workloads.registry import d_list, d_norm, query
 from workloads.retrieval_queries import STOP, _docs, _load_text_statistics
 from workloads.scoring_queries import cand_vectors, job_vectors
 from workloads.skill_queries import synonyms
@@ -84,7 +84,7 @@ def s06(spark, sf):
     return parse_synonyms(documents)
 
 
-@query("s07_lookup", CAND + "SELECT candidate_id, years FROM cand WHERE candidate_id IN (SELECT 'CAND_' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("s07_lookup", CAND + "SELECT candidate_id, years FROM cand WHERE candidate_id IN (SELECT 'CAND_' || lpad(CAST(o_custkey AS VARCHAR), greatest(7, length(CAST(o_custkey AS VARCHAR)))::INT, '0') FROM orders WHERE o_orderpriority = '1-URGENT')")
 def s07(spark, sf):
     ids = tb.load(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.expr(tb.cid("o_custkey")).alias("candidate_id"))
     return sc.lookup(tb.candidates(spark, sf, ()), ids).select("candidate_id", F.col("profile.years_of_experience").alias("years"))
@@ -167,8 +167,9 @@ def s15_reused(spark, sf):
 
 
 @query("s16_index_tables", r"""WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_À-ÖØ-öø-ÿ]{2,}')) AS term FROM documents),
-vocab AS (SELECT term, count(*) AS n FROM terms GROUP BY 1 ORDER BY n DESC, term LIMIT 10000)
-SELECT 'vocabulary' AS name, count(*) AS n FROM vocab UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT doc_id, term FROM terms SEMI JOIN vocab USING (term))
+kept AS (SELECT * FROM terms WHERE term NOT IN """ + d_list(STOP) + r"""),
+vocab AS (SELECT term, count(*) AS n FROM kept GROUP BY 1 ORDER BY n DESC, term LIMIT 10000)
+SELECT 'vocabulary' AS name, count(*) AS n FROM vocab UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT doc_id, term FROM kept SEMI JOIN vocab USING (term))
 UNION ALL SELECT 'embeddings', count(*) FROM documents""")
 def s16(spark, sf):
     from candisieve.functions.vectors import embed
@@ -217,7 +218,7 @@ scores AS (SELECT job_id, candidate_id, round(sum(p.w * q.w), 9) AS score FROM p
 SELECT job_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM (
   SELECT j.job_id, c.candidate_id, coalesce(s.score, 0) AS score FROM job j CROSS JOIN cand c LEFT JOIN scores s ON s.job_id = j.job_id AND s.candidate_id = c.candidate_id) x) y WHERE rank <= {FUNNEL_SIZES['lexical']}""")
 def r13_lexical(spark, sf):
-    return lexical_stage(tb.jobs(spark, sf), tb.candidates(spark, sf), FUNNEL_SIZES["lexical"], STOP)
+    return lexical_stage(tb.jobs(spark, sf), tb.candidates(spark, sf), FUNNEL_SIZES["lexical"])
 
 
 @query("r13_funnel")
@@ -226,7 +227,7 @@ def r13(spark, sf):
     cand = materialize(tb.candidates(spark, sf), "candidates")
     job = materialize(tb.jobs(spark, sf), "jobs")
     vectors = materialize(cand_vectors(spark, sf), "vectors")
-    out = funnel(job, cand, vectors, job_vectors(spark, sf), FUNNEL_SIZES, STOP, synonyms(spark))
+    out = funnel(job, cand, vectors, job_vectors(spark, sf), FUNNEL_SIZES, synonyms=synonyms(spark))
     return out.select("job_id", "candidate_id", "rank", "final_score", "is_honeypot", "reasoning")
 
 
