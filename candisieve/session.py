@@ -20,6 +20,10 @@ def build_session(app_name: str = "candisieve", master: str | None = None, **con
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Recording the Python call site of every expression doubles planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Lookups push lists of ids into the scan; without this longer ones become a range.
+        "spark.sql.parquet.pushdown.inFilterThreshold": "256",
+        # Cuts to the first 8,000 rows of a key are taken before the sort's shuffle, too.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         **conf,
     }
     for key, value in settings.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,9 @@ CANDIDATE_SCHEMA = _struct(
 )
 
 CORRUPT = "_corrupt"
+VERDICTS = ["good", "bad_json", "missing_key", "bad_value"]
+# Ids that a lookup pushes into the scan at most; the session pushes lists up to that length.
+MOST_LISTED = 256
 
 
 def parse_candidates(lines: DataFrame, signals_key: str = "signals") -> DataFrame:
@@ -192,6 +195,51 @@ def quarantine_counts(parsed: DataFrame, required_schema: dict | None = None) ->
     )
 
 
+def ingest(
+    lines: DataFrame, path: str, required_schema: dict | None = None, id_pattern: str = ID_PATTERN, signals_key: str = "signals",
+) -> DataFrame:
+    """Store valid candidates and quarantined lines, and count them, in one pass over the lines.
+
+    ``{path}/verdict=good`` holds the candidates, ``verdict=bad_json``, ``missing_key`` and
+    ``bad_value`` the rejected lines in ``value``. The counts, ``verdict, n``, are metrics of the write
+    itself, so the lines are parsed once.
+    """
+    marked = with_reject_reason(parse_candidates(lines, signals_key), required_schema, id_pattern)
+    verdict = F.coalesce("reject_reason", F.lit("good"))
+    good = F.col("verdict") == "good"
+    stored = marked.withColumn("verdict", verdict).select(
+        "verdict", F.when(~good, F.col("value")).alias("value"), *[F.when(good, F.col(c)).alias(c) for c in CANDIDATE_SCHEMA.fieldNames()])
+    seen = Observation("verdicts")
+    counted = [F.count_if(F.col("verdict") == name).alias(name) for name in VERDICTS]
+    stored.observe(seen, *counted).write.partitionBy("verdict").parquet(path)
+    rows = [(name, int(seen.get[name])) for name in VERDICTS]
+    return lines.sparkSession.createDataFrame(rows, "verdict string, n long")
+
+
+def write_lookup_store(cand: DataFrame, path: str, row_group_bytes: int = 8 << 20) -> None:
+    """Candidates in files by range of id, sorted, with a bloom filter of the ids in every row group.
+
+    A lookup then reads the row groups whose range and filter may hold one of its ids, and of those
+    the pages that the column index leaves.
+    """
+    (cand.repartitionByRange("candidate_id").sortWithinPartitions("candidate_id").write
+     .option("parquet.bloom.filter.enabled#candidate_id", "true").option("parquet.block.size", str(row_group_bytes)).parquet(path))
+
+
+def stored_lookup(spark: SparkSession, path: str, ids: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+    """The stored candidates whose id is listed.
+
+    Up to ``most_listed`` different ids are pushed into the scan; more are joined, where nearly every
+    row group holds one anyhow. Both give the same rows. Null ids match nothing.
+    """
+    wanted = ids.select("candidate_id").where("candidate_id is not null").distinct()
+    store = spark.read.parquet(path)
+    listed = [r["candidate_id"] for r in wanted.limit(most_listed + 1).collect()]
+    if len(listed) > most_listed:
+        return lookup(store, wanted)
+    return store.where(F.col("candidate_id").isin(listed)) if listed else store.where(F.lit(False))
+
+
 def lookup(cand: DataFrame, ids: DataFrame) -> DataFrame:
     """The candidates whose id is listed. Ids may repeat; rows do not."""
     return cand.join(ids.select("candidate_id"), "candidate_id", "left_semi")

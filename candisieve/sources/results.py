@@ -67,12 +67,34 @@ def read_submission_cells(spark: SparkSession, path: str) -> DataFrame:
         "row_num", "n_cells", "c.*")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """The full evaluation, one partition folder per job.
+STORED = ["job_id", "run"]
 
-    Rows of a job are brought together; adaptive execution splits a large job into tasks by size.
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write the partitions that ``rows`` holds anew and leave all others as they are."""
+    rows.write.partitionBy(*STORED).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_results(results: DataFrame, path: str, run: str = "1") -> None:
+    """The full evaluation, one partition folder per job and run, safe to repeat.
+
+    A rerun replaces the rows of its jobs under the same run key instead of adding to them. The number
+    of rows of each job is written last, as its commit mark: a write that ended early has none, or one
+    that does not fit, and ``read_results`` leaves it out. Rows of a job are brought together;
+    adaptive execution splits a large job into tasks by size.
     """
-    results.hint("rebalance", "job_id").write.partitionBy("job_id").mode("append").parquet(path)
+    _replace(results.withColumn("run", F.lit(run)).hint("rebalance", "job_id"), f"{path}/rows")
+    jobs = results.select("job_id").distinct().withColumn("run", F.lit(run))
+    written = results.sparkSession.read.parquet(f"{path}/rows").withColumn("job_id", F.col("job_id").cast(results.schema["job_id"].dataType))
+    _replace(written.join(jobs, STORED, "left_semi").groupBy(*STORED).agg(F.count("*").alias("n_rows")), f"{path}/commits")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows of all committed jobs and runs, with ``run``."""
+    rows = spark.read.parquet(f"{path}/rows")
+    commits = spark.read.parquet(f"{path}/commits")
+    whole = rows.groupBy(*STORED).agg(F.count("*").alias("n_rows")).join(commits, [*STORED, "n_rows"], "left_semi")
+    return rows.join(whole.select(*STORED), STORED, "left_semi")
 
 
 def run_metrics(ranked: DataFrame) -> DataFrame:
@@ -83,13 +105,10 @@ def run_metrics(ranked: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum(head), F.lit(0.0)) / 100.0, 4).alias("top_100_average_score"))
 
 
-def dataset_fingerprint(table: DataFrame) -> DataFrame:
-    """Latest change and total size of the files behind a scan, from file metadata only."""
-    files = table.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("changed")).groupBy("path").agg(
-        F.max("size").alias("size"), F.max("changed").alias("changed"))
-    return files.agg(F.sum("size").alias("dataset_size"), F.max("changed").alias("dataset_mtime"))
+def dataset_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """Latest change and total size of the files below a path, from their listing; no row is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length").alias("dataset_size"), F.max("modificationTime").alias("dataset_mtime"))
 
 
 def with_run_key(postings: DataFrame, fingerprint: DataFrame, version: str) -> DataFrame:
