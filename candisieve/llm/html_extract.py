@@ -64,6 +64,8 @@ CODE = frozenset("script style title textarea".split())
 RESCUED, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+# A tag whose quoted parts hold no other; it fails before the next "<", so it is tried at every one.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _SPECIAL = re.compile(r"""[>"']""")
 _ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
@@ -116,6 +118,9 @@ class Tags:
         html = self.html
         while (start := html.find("<", at)) >= 0:
             at = start + 1
+            if plain := _PLAIN_TAG.match(html, start):
+                closing, name, attributes = plain.groups()
+                return start, plain.end(), name.lower(), attributes, bool(closing)
             if html.startswith("<!--", start):
                 stop = html.find("-->", start + 4)
                 return start, stop + 3 if stop >= 0 else len(html), "", "", False
