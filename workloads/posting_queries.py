@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candisieve.functions import fixed_values as fv
 from candisieve.operators import extraction as jx
 from workloads import testbed as tb
+from workloads.posting_values import HEADERS, NAMES
 from workloads.registry import d_list, query
 from workloads.skill_sql import D_CERT_SIGNAL
 
@@ -20,23 +21,28 @@ def _q(text: str) -> str:
 
 
 def d_pre(c: str) -> str:
-    names = jx.protected_patterns()
-    for _, placeholder, name in names:
-        c = f"regexp_replace({c}, '(?i)\\b{_q(name)}\\b', '{placeholder}', 'g')"
-    for pattern, replacement in [
-            (r"([a-zA-Z0-9])\.([A-Z])", r"\1. \2"), (r"([a-zA-Z0-9]):([A-Z])", r"\1: \2"), (r"([a-zA-Z0-9]),([A-Z])", r"\1, \2"),
-            (r"([\)\]\.\?!:])([a-zA-Z])", r"\1 \2")]:
-        c = f"regexp_replace({c}, '{pattern}', '{replacement}', 'g')"
-    c = rf"regexp_replace({c}, '(?i)([a-zA-Z])(\d+\+?\s*(?:to|-|–|—)?\s*\d*\s*(?:years?|yrs?)\b)', '\1' || chr(10) || '\2', 'g')"
-    for _, placeholder, name in names:
-        c = f"replace({c}, '{placeholder}', '{name}')"
-    for header in sorted(fv.GLUED_HEADERS, key=len, reverse=True):
-        h = _q(header)
-        if " " in header or header.endswith(":") or "?" in header:
-            c = rf"regexp_replace({c}, '(?i)(^|[^\n{_W}]|[a-z0-9])({h})', '\1' || chr(10) || '\2', 'g')"
+    """RE2 looks neither back nor ahead: each name is one private character while gaps are spaced, and
+    headers go line by line from the longest on."""
+    held = {name: f"chr({0xE000 + i})" for i, name in enumerate(sorted(NAMES, key=len, reverse=True))}
+
+    def swap(pattern: str, by: str) -> None:
+        nonlocal c
+        c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    for name, char in held.items():
+        swap(rf"(?i)\b{_q(name)}\b", char)
+    swap(r"([\)\]\.\?!:])([a-zA-Z])", r"'\1 \2'")
+    swap(r"([a-zA-Z0-9]),([A-Z])", r"'\1, \2'")
+    swap(r"(?i)([a-zA-Z])(\d+\+?\s*(?:to|-|–|—)?\s*\d*\s*(?:years?|yrs?)\b)", r"'\1' || chr(10) || '\2'")
+    for name, char in held.items():
+        c = f"replace({c}, {char}, '{name}')"
+    for header in sorted(HEADERS, key=len, reverse=True):
+        if header in ("Certifications", "KPIs"):
+            swap(rf"([a-z0-9])({header})", r"'\1' || chr(10) || '\2'")
+            swap(rf"([ \t\r])({header})([:\s]|$)", r"'\1' || chr(10) || '\2\3'")
         else:
-            c = rf"regexp_replace(regexp_replace({c}, '([a-z0-9])({h})', '\1' || chr(10) || '\2', 'g'), '([ \t\r])({h})([:\s]|$)', '\1' || chr(10) || '\2\3', 'g')"
-    return rf"regexp_replace({c}, '([a-z0-9])(Location)([:\s]|$)', '\1' || chr(10) || '\2\3', 'g')"
+            swap(rf"(?i)(^|[^\n{_W}]|[a-z0-9])({_q(header)})", r"'\1' || chr(10) || '\2'")
+    swap(r"([a-z0-9])(Location)([:\s]|$)", r"'\1' || chr(10) || '\2\3'")
+    return c
 
 
 def d_strip(c: str) -> str:
