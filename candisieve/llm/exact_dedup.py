@@ -1,20 +1,25 @@
 """Exact duplicates through an extendible-hash index kept on shared files.
 
-Texts meet by the 64-bit hash of their normalised bytes. A directory of hash prefixes is doubled
-until no bucket holds more than ``capacity`` distinct hashes; buckets are contiguous ranges of
-hashes, dealt in order to owner tasks. Grouping by hash and by the whole text compares bytes, so
-texts that share a hash form a chain of separate entries.
+Texts meet by the 64-bit hash of their normalised bytes. First the hashes alone build a directory of
+prefixes, which is doubled until no bucket holds more than ``capacity`` of them; a bucket is a range
+of hashes. Then rows find their bucket through the directory's slots, copies collapse in shares, and
+the owner of a bucket compares whole texts byte by byte and chains those that share a hash. Documents
+find their entry by the same way: slot, bucket, hash, digest.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candisieve.llm.common import squeeze
 from candisieve.session import materialize
 
-CAPACITY = 65_536
+CAPACITY = 4_096
+# A text's copies reach its owner as so many rows at most, however many there are.
+SHARES = 16
 BITS_A_PASS = 8
 MOST_BITS = 40
 
@@ -60,38 +65,65 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         depth = step
 
 
+class Index(NamedTuple):
+    """``entries`` on shared files, and the ``slots`` of the directory, of ``2 ** depth`` places, that lead to them."""
+
+    entries: DataFrame
+    slots: DataFrame
+    depth: int
+
+    def owned(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the ``owner`` of their ``key``: the first slot of the key's bucket."""
+        return _dealt(rows, self.slots.select("slot", "owner"), self.depth)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds the normalised text ``norm``, its hash ``key`` and its digest ``text_sha256``."""
-    norm = docs.withColumn("norm", squeeze(F.col("text")))
-    return norm.withColumns({"key": F.xxhash64("norm"), "text_sha256": F.sha2("norm", 256)})
+    """Adds the normalised text ``norm`` and its hash ``key``."""
+    return docs.withColumn("norm", squeeze(F.col("text"))).withColumn("key", F.xxhash64("norm"))
 
 
-def exact_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index over ``doc_id, text``, written to shared files: one row per distinct normalised text.
+def directory_slots(buckets: DataFrame, depth: int) -> DataFrame:
+    """``slot, owner, bucket, depth``: each bucket of a lower depth has several slots, the first names its owner."""
+    spread = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(depth) - F.col("depth"))
+    first = F.col("bucket") * spread
+    return buckets.select(F.explode(F.sequence(first, first + spread - 1)).alias("slot"), first.alias("owner"), "bucket", "depth")
+
 
-    ``bucket`` and ``depth`` name the bucket, ``key`` the hash, ``chain`` the place among texts that
-    share the hash, ``text_sha256`` the digest, ``keep_id`` the smallest doc_id, ``group_size`` the
-    number of rows. Copies collapse before the shuffle, so a text that owns a third of all rows
-    reaches its owner as one row per task. Two texts with the same hash and digest raise an error.
+def _dealt(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    return rows.withColumn("slot", prefix(F.col("key"), depth)).join(slots, "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
+    """The index over ``doc_id, text``, written to shared files: an entry per distinct normalised text.
+
+    ``bucket`` and ``depth`` name the bucket, ``owner`` its first slot, ``key`` the hash, ``chain`` the
+    place among texts that share the hash, ``text_sha256`` the digest, ``keep_id`` the smallest doc_id,
+    ``group_size`` the number of rows. Copies collapse before either shuffle, so a text that owns a
+    third of all rows reaches its owner as ``SHARES`` rows. Two texts with the same hash and digest
+    raise an error.
     """
-    entries = materialize(
-        keyed(docs).groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "dedup-entries")
-    buckets = directory(entries, capacity)
-    deepest = buckets.agg(F.max("depth")).first()[0] or 0
-    # Each bucket of a lower depth is pointed to by several slots of the directory.
-    spread = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(deepest) - F.col("depth"))
-    slots = buckets.select("depth", "bucket", F.explode(F.transform(
-        F.sequence(F.lit(0).cast("long"), spread - 1), lambda i: i + F.expr("bucket") * spread)).alias("slot"))
-    owned = (entries.withColumn("slot", prefix(F.col("key"), deepest)).join(slots, "slot")
-             .withColumn("first_slot", F.col("bucket") * spread)
-             .repartitionByRange("first_slot"))
-    chain = Window.partitionBy("first_slot", "key").orderBy("text_sha256", "keep_id")
+    rows = keyed(docs)
+    buckets = directory(materialize(rows.select("key").distinct(), "dedup-keys"), capacity)
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    slots = materialize(directory_slots(buckets, depth), "dedup-slots")
+    shares = rows.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).groupBy("key", "norm", "share").agg(
+        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("share")
+    # From here on all rows of a bucket are in one task: the grouping and the chains need no further shuffle.
+    grouped = _dealt(shares, slots, depth).repartition("owner").groupBy("owner", "bucket", "depth", "key", "norm").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = grouped.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
+    chain = Window.partitionBy("owner", "key").orderBy("text_sha256")
     same = F.lag("text_sha256").over(chain) == F.col("text_sha256")
-    return materialize(owned.select(
-        "bucket", "depth", "key", F.row_number().over(chain).alias("chain"),
+    held = materialize(entries.select(
+        "owner", "bucket", "depth", "key", F.row_number().over(chain).alias("chain"),
         F.when(same, F.raise_error(F.lit("two texts share hash and digest"))).otherwise(F.col("text_sha256")).alias("text_sha256"),
         "keep_id", "group_size"), "dedup-index")
+    return Index(held, slots, depth)
+
+
+def exact_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The entries of ``build_index``."""
+    return build_index(docs, capacity).entries
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -102,12 +134,12 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ignored.
     """
     docs = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    index = exact_index(docs, capacity)
+    index = build_index(docs, capacity)
     # Repeats are numbered before the join, so that the join alone decides how its rows are dealt and
     # a hash with many rows can be split.
     again = F.row_number().over(Window.partitionBy("doc_id", "key", "text_sha256").orderBy(F.lit(0)))
-    probe = keyed(docs).select("doc_id", "key", "text_sha256").withColumn("again", again)
-    return probe.join(index, ["key", "text_sha256"]).select(
+    probe = keyed(docs).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")).withColumn("again", again)
+    return index.owned(probe).join(index.entries, ["owner", "key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"),
         "text_sha256", "bucket", "chain")
@@ -119,10 +151,14 @@ def drop_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFram
     Of rows that repeat both text and doc_id the one stays whose columns hash lowest, so reruns agree.
     """
     slim = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    kept = exact_index(slim, capacity).select("keep_id", "text_sha256")
+    index = build_index(slim, capacity)
     # Rows travel whole in one column, so their names cannot clash with those of the index.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = docs.select(row.alias("_row"), F.sha2(squeeze(F.col("`text`")), 256).alias("_own"), F.xxhash64(F.to_json(row)).alias("_mark"))
-    stay = held.join(kept, (F.col("_own") == F.col("text_sha256")) & F.col("_row")["doc_id"].eqNullSafe(F.col("keep_id")), "inner")
-    once = Window.partitionBy("_own", "keep_id").orderBy("_mark")
+    held = keyed(docs.select(row.alias("_row"), F.col("`text`").alias("text"), F.xxhash64(F.to_json(row)).alias("_mark")))
+    held = index.owned(held.select("_row", "_mark", "key", F.sha2("norm", 256).alias("text_sha256"), F.col("_row")["doc_id"].alias("_id")))
+    kept = index.entries.select(F.col("owner").alias("_owner"), F.col("key").alias("_key"), F.col("text_sha256").alias("_sha"), "keep_id")
+    # The id is part of the join's key, so the copies of a hot text are not sent to one task.
+    stay = held.join(kept, (F.col("owner") == F.col("_owner")) & (F.col("key") == F.col("_key"))
+                     & (F.col("text_sha256") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("keep_id")))
+    once = Window.partitionBy("text_sha256", "_id").orderBy("_mark")
     return stay.withColumn("_again", F.row_number().over(once)).where("_again = 1").select("_row.*")

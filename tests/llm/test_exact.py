@@ -119,3 +119,29 @@ def test_positions_follow_the_schedule(spark):
     assert abs(half - (0.5 * 0.5 + 0.5 * 0.25)) < 0.01
     order = [r.position for r in mixing.mix_sources(table).collect() if r.position is not None]
     assert order == sorted(order)
+
+
+def test_documents_meet_their_entries_by_way_of_the_directory(spark):
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
+    index = exact_dedup.build_index(many, capacity=20)
+    slots = index.slots.orderBy("slot").collect()
+    assert [r.slot for r in slots] == list(range(1 << index.depth)) and index.depth > 3
+    assert all(r.owner <= r.slot < r.owner + (1 << index.depth - r.depth) and r.bucket == r.owner >> index.depth - r.depth for r in slots)
+    rows = exact_dedup.keyed(many).select("doc_id", "key")
+    first = index.owned(rows).where("owner = 0").count()
+    lost = index._replace(slots=index.slots.where("owner <> 0"))
+    assert 0 < first < 900 and lost.owned(rows).count() == 900 - first
+
+
+def test_texts_of_one_hash_form_a_chain(spark, monkeypatch):
+    plain_key = exact_dedup.keyed
+    monkeypatch.setattr(exact_dedup, "keyed", lambda d: plain_key(d).withColumn("key", F.length("norm").cast("long")))
+    rows = [(i, f"{'ab'[i % 2]}{i % 5}") for i in range(40)] + [(50, "abc"), (51, None), (52, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(table, capacity=1).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, min(groups[t or ""]), len(groups[t or ""])) for i, t in rows}
+    assert len(got) == len(rows) and sorted({r.chain for r in got}) == list(range(1, 11))
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(table, capacity=1).collect()) == sorted(map(min, groups.values()))
