@@ -572,20 +572,27 @@ def classify(pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ cohort statistics
 
+def skill_mentions(cohort: DataFrame) -> DataFrame:
+    """``job_id, skill`` for every skill of every cohort row, and once more with a null skill for the row itself."""
+    names = F.transform("skills", lambda s: lower_strip(s["name"]))
+    return cohort.select("job_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), names)).alias("skill"))
+
+
+def rarity_of(counted: DataFrame) -> DataFrame:
+    """``job_id, skill, rarity`` from the numbers ``n`` of mentions."""
+    sizes = counted.filter("skill IS NULL").select("job_id", F.col("n").alias("cohort"))
+    value = 1.0 + (1.0 - F.col("n") / F.col("cohort"))
+    return counted.filter("skill IS NOT NULL").join(sizes, "job_id").select(
+        "job_id", "skill", F.greatest(F.lit(1.0), F.least(F.lit(2.0), value)).alias("rarity"))
+
+
 def skill_rarity(cohort: DataFrame) -> DataFrame:
     """``job_id, skill, rarity``: 2 minus the share of cohort rows, between 1 and 2.
 
     Every occurrence counts. A marker entry per row carries the cohort size in the same
     partially aggregated shuffle.
     """
-    names = F.transform("skills", lambda s: lower_strip(s["name"]))
-    counted = cohort.select("job_id", F.explode(F.concat(
-        F.array(F.lit(None).cast("string")), names)).alias("skill")).groupBy("job_id", "skill").agg(
-        F.count("*").alias("n"))
-    sizes = counted.filter("skill IS NULL").select("job_id", F.col("n").alias("cohort"))
-    value = 1.0 + (1.0 - F.col("n") / F.col("cohort"))
-    return counted.filter("skill IS NOT NULL").join(sizes, "job_id").select(
-        "job_id", "skill", F.greatest(F.lit(1.0), F.least(F.lit(2.0), value)).alias("rarity"))
+    return rarity_of(skill_mentions(cohort).groupBy("job_id", "skill").agg(F.count("*").alias("n")))
 
 
 def attach_rarity(prepared_jobs: DataFrame, rarity: DataFrame) -> DataFrame:

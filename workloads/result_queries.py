@@ -10,6 +10,7 @@ from candisieve.operators import explore as xp
 from candisieve.operators import quality as qa
 from candisieve.operators.profile import build_profile
 from candisieve.operators.skills import match_lists, requirement_coverage
+from candisieve.session import scratch_path
 from workloads import testbed as tb
 from workloads.registry import d_raw, query
 from workloads.skill_sql import d_bound
@@ -357,6 +358,13 @@ def x04(spark, sf):
     return xp.page(tb.flat(spark, sf, "result"), 3, 25, "score", "desc").select(*KEYS, "rank")
 
 
+@query("x04_stored_page", RES + "SELECT job_id, candidate_id, rank FROM result ORDER BY final_score DESC, job_id, candidate_id LIMIT 25 OFFSET 50")
+def x04_stored(spark, sf):
+    path = scratch_path(spark, "pages")
+    xp.write_pages(tb.flat(spark, sf, "result"), path, "score", "desc")
+    return xp.stored_page(spark, path, 3, 25, "score", "desc").select(*KEYS, "rank")
+
+
 @query("x05_enrich", RES + f"""SELECT r.job_id, r.candidate_id, r.rank, r.final_score AS score, r.name, CASE WHEN r.rank % 3 = 0 THEN -1.0::DOUBLE ELSE r.skill_score END AS skill_score,
 CASE WHEN r.rank % 3 = 0 THEN '' ELSE coalesce({d_agg("'matched_skills'", 'line')}, '') END AS matched FROM res r""")
 def x05(spark, sf):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from candisieve.functions import fixed_values as fv
 from candisieve.operators import skills as sk
 from candisieve.operators.profile import build_profile
+from candisieve.session import materialize, scratch_path
 from candisieve.sources.synonyms import parse_synonyms
+from candisieve.streaming.cohort import keep_counts, kept_rarity
 from workloads import testbed as tb
 from workloads.registry import d_list, d_map_case, query
 from workloads.skill_sql import (
@@ -241,7 +243,25 @@ def m19(spark, sf):
     return sk.requirement_weights(sk.prepare_jobs(tb.jobs(spark, sf)))
 
 
-@query("m20_skill_rarity", tb.with_flat("cand_skill", "application").rstrip() + f", {D_RARITY} SELECT job_id, skill, round(rarity, 6) AS rarity FROM rarity")
+D_M20 = tb.with_flat("cand_skill", "application").rstrip() + f", {D_RARITY} SELECT job_id, skill, round(rarity, 6) AS rarity FROM rarity"
+
+
+def _cohort(spark, sf):
+    return tb.applications(spark, sf).join(tb.candidates(spark, sf, ("skills",)).select("candidate_id", "skills"), "candidate_id")
+
+
+@query("m20_skill_rarity", D_M20)
 def m20(spark, sf):
-    cohort = tb.applications(spark, sf).join(tb.candidates(spark, sf, ("skills",)).select("candidate_id", "skills"), "candidate_id")
-    return sk.skill_rarity(cohort).withColumn("rarity", F.round("rarity", 6))
+    return sk.skill_rarity(_cohort(spark, sf)).withColumn("rarity", F.round("rarity", 6))
+
+
+@query("m20_rarity_kept", D_M20)
+def m20_kept(spark, sf):
+    """The same applications as they arrive: a stream over files, in about four batches."""
+    arrived = materialize(_cohort(spark, sf).select("job_id", "skills"), "applications")
+    files = arrived.inputFiles()
+    stream = (spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", -(-len(files) // 4))
+              .parquet(files[0].rsplit("/", 1)[0]))
+    store = scratch_path(spark, "rarity")
+    keep_counts(stream, store, scratch_path(spark, "rarity-state")).awaitTermination()
+    return kept_rarity(spark, store).withColumn("rarity", F.round("rarity", 6))
