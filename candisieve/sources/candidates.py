@@ -43,31 +43,61 @@ CANDIDATE_SCHEMA = _struct(
         verified_email=_BOOL, verified_phone=_BOOL, linkedin_connected=_BOOL),
 )
 
-CORRUPT = "_corrupt"
+CORRUPT, JSON = "_corrupt", "_json"
 VERDICTS = ["good", "bad_json", "missing_key", "bad_value"]
 # Ids that a lookup pushes into the scan at most; the session pushes lists up to that length.
 MOST_LISTED = 256
 
 
+def _fits(value: Column, kind: T.DataType) -> Column:
+    """Whether a VARIANT holds what ``kind`` asks for; absent and null values do.
+
+    Numbers and truth values must be written as such, and whole numbers without a decimal point; text
+    takes any value.
+    """
+    if isinstance(kind, T.StringType):
+        return F.lit(True)
+    if isinstance(kind, T.StructType):
+        ok = F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+        for field in kind.fields:
+            if not isinstance(field.dataType, T.StringType):
+                ok = ok & _fits(F.try_variant_get(value, f"$.{field.name}", "variant"), field.dataType)
+    elif isinstance(kind, T.ArrayType):
+        ok = F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: _fits(x, kind.elementType)), F.lit(False))
+    elif isinstance(kind, T.MapType):
+        inner = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+        ok = F.coalesce(F.forall(inner, lambda x: _fits(x, kind.valueType)), F.lit(False))
+    else:
+        written = {_INT: "BIGINT", _DOUBLE: "BIGINT|DOUBLE|FLOAT|DECIMAL.*", _BOOL: "BOOLEAN"}[kind]
+        ok = F.schema_of_variant(value).rlike(f"^({written})$")
+        if kind == _INT:
+            ok = ok & F.try_variant_get(value, "$", "int").isNotNull()
+    return value.isNull() | F.is_variant_null(value) | ok
+
+
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that later filters and projections read instead of computing them again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def parse_candidates(lines: DataFrame, signals_key: str = "signals") -> DataFrame:
-    """Parse one JSON object per line of ``value``.
+    """Parse one JSON object per line of ``value``, once, to the VARIANT ``_json``.
 
-    Blank lines vanish; a line that is not a JSON object of the schema keeps its text
-    in ``_corrupt``. Types are strict: the text "5" is not the number 5. Unknown keys
-    are ignored. ``signals_key`` names the root key that holds the activity signals.
+    Typed columns and all checks read that VARIANT. Blank lines vanish; a line that is not a JSON
+    object of the schema keeps its text in ``_corrupt``, and a root key that does not fit is null.
+    Types are strict: the text "5" is not the number 5. Unknown keys are ignored; an object that
+    repeats a key is no JSON here (``_json`` is null). ``signals_key`` names the root key that holds
+    the activity signals.
     """
-    schema = T.StructType([
-        T.StructField(signals_key if f.name == "signals" else f.name, f.dataType)
-        for f in CANDIDATE_SCHEMA.fields
-    ] + [T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.filter(strip("value") != "").withColumn(
-        "_record", F.from_json("value", schema, options))
-    columns = [
-        F.col(f"_record.{signals_key if f.name == 'signals' else f.name}").alias(f.name)
-        for f in CANDIDATE_SCHEMA.fields
-    ]
-    return parsed.select("value", *columns, F.col(f"_record.{CORRUPT}").alias(CORRUPT))
+    parsed = _once(lines.filter(strip("value") != "").select("value"), F.try_parse_json("value").alias(JSON))
+    root = _once(parsed, F.try_variant_get(JSON, "$", "map<string,variant>").alias("_root"))
+    columns, ok = [], F.col("_root").isNotNull()
+    for field in CANDIDATE_SCHEMA.fields:
+        held = F.try_element_at("_root", F.lit(signals_key if field.name == "signals" else field.name))
+        fits = _fits(held, field.dataType)
+        ok = ok & fits
+        columns.append(F.when(fits, F.try_variant_get(held, "$", field.dataType.simpleString())).alias(field.name))
+    return _once(root, *columns, F.when(~ok, F.col("value")).alias(CORRUPT)).drop("_root")
 
 
 def read_candidates(spark: SparkSession, path: str, signals_key: str = "signals") -> DataFrame:
@@ -75,34 +105,28 @@ def read_candidates(spark: SparkSession, path: str, signals_key: str = "signals"
     return parse_candidates(spark.read.text(path), signals_key)
 
 
-def _has_keys(raw: Column, path: str, keys: list[str]) -> Column:
-    """Key presence; a key holding null is present."""
-    present = F.coalesce(
-        F.json_object_keys(F.get_json_object(raw, path)), F.array().cast("array<string>"))
-    missing = F.array_except(F.array(*[F.lit(k) for k in keys]), present)
-    return F.size(missing) == 0
+def _has_keys(json: Column, keys: list[str]) -> Column:
+    """Whether a VARIANT is an object with all ``keys``; a key holding null is present."""
+    missing = F.array_except(F.array(*[F.lit(k) for k in keys]), F.map_keys(F.try_variant_get(json, "$", "map<string,variant>")))
+    return F.coalesce(F.size(missing) == 0, F.lit(False))
 
 
-def required_ok(schema: dict | None, raw: Column) -> Column:
-    """Row predicate of S02 on the raw JSON text."""
+def required_ok(schema: dict | None, json: Column) -> Column:
+    """Row predicate of S02 on the VARIANT of a line."""
     if not schema:
         return F.lit(True)
     root = schema.get("required", [])
     inner = schema.get("properties", {}).get("profile", {}).get("required", [])
-    ok = F.lit(True)
-    if root:
-        ok = ok & _has_keys(raw, "$", root)
-    profile = F.get_json_object(raw, "$.profile")
-    is_object = profile.isNull() | profile.startswith("{")
-    ok = ok & F.coalesce(is_object, F.lit(True))
+    ok = _has_keys(json, root) if root else F.lit(True)
+    profile = F.try_variant_get(json, "$.profile", "variant")
     if inner:
-        ok = ok & _has_keys(raw, "$.profile", inner)
-    return F.coalesce(ok, F.lit(False))
+        return F.coalesce(ok & _has_keys(profile, inner), F.lit(False))
+    return ok & (profile.isNull() | F.is_variant_null(profile) | _has_keys(profile, []))
 
 
-def validate_required(df: DataFrame, schema: dict | None, raw_col: str = "value") -> DataFrame:
+def validate_required(df: DataFrame, schema: dict | None, json_col: str = JSON) -> DataFrame:
     """Add ``required_ok``; without a schema every row passes."""
-    return df.withColumn("required_ok", required_ok(schema, F.col(raw_col)))
+    return df.withColumn("required_ok", required_ok(schema, F.col(json_col)))
 
 
 def _all_set(item: Column, fields: list[str]) -> Column:
@@ -165,8 +189,8 @@ def validate_ranges(df: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
 def reject_reason(required_schema: dict | None = None, id_pattern: str = ID_PATTERN) -> Column:
     """Why a parsed row is rejected; null for a valid row. First failing check wins."""
     return (
-        F.when(F.try_parse_json(F.col("value")).isNull(), "bad_json")
-        .when(~required_ok(required_schema, F.col("value")), "missing_key")
+        F.when(F.col(JSON).isNull(), "bad_json")
+        .when(~required_ok(required_schema, F.col(JSON)), "missing_key")
         .when(F.col(CORRUPT).isNotNull() | ~ranges_ok(id_pattern), "bad_value")
     )
 
@@ -251,7 +275,7 @@ def preflight(lines: DataFrame) -> DataFrame:
     A file is refused when it is empty or when no row carries both keys. The first-five
     form of the check is ``preflight_head``.
     """
-    shaped = F.coalesce(_has_keys(F.col("value"), "$", ["candidate_id", "profile"]), F.lit(False))
+    shaped = _has_keys(F.try_parse_json("value"), ["candidate_id", "profile"])
     counts = lines.filter(strip("value") != "").agg(
         F.count("*").alias("n_rows"), F.count_if(shaped).alias("n_shaped"))
     return counts.withColumn("accepted", (F.col("n_rows") > 0) & (F.col("n_shaped") > 0))

@@ -105,3 +105,27 @@ def test_ids_keep_all_digits(spark):
     from workloads.testbed import cid
     got = spark.sql(f"SELECT {cid('k')} AS c FROM VALUES (7), (10000000), (10000001) AS t(k)")
     assert [r.c for r in got.collect()] == ["CAND_0000007", "CAND_10000000", "CAND_10000001"]
+
+
+def test_a_line_is_parsed_once_and_strictly(spark):
+    def changed(**new):
+        return json.dumps({**GOOD, **new})
+    skill = {"name": "Go", "proficiency": "expert", "endorsements": 3}
+    cases = {
+        changed(): None, changed(unknown=[1]): None, changed(skills=[skill, {**skill, "duration_months": None}]): None,
+        changed(certifications=None): None, changed(profile={**PROFILE, "years_of_experience": 5}): None,
+        changed(profile={**PROFILE, "headline": 7}): None,
+        changed(profile={**PROFILE, "years_of_experience": "5"}): "bad_value", changed(certifications="none"): "bad_value",
+        changed(skills=[{**skill, "endorsements": 3.0}]): "bad_value", changed(skills=[{**skill, "duration_months": "x"}]): "bad_value",
+        changed(skills=[{**skill, "endorsements": 2**40}]): "bad_value", changed(skills=[skill, None]): "bad_value",
+        changed(activity={**SIGNALS, "verified_email": 1}): "bad_value", changed(activity={**SIGNALS, "skill_assessment_scores": {"Go": "9"}}): "bad_value",
+        changed(profile=[PROFILE]): "missing_key", changed(profile=None): "missing_key", "[]": "missing_key", "5": "missing_key", "null": "missing_key",
+        '{"a": 1': "bad_json", '{"a": 1, "a": 2}': "bad_json"}
+    lines = spark.createDataFrame([(x,) for x in [*cases, " ", None]], "value string")
+    parsed = sc.parse_candidates(lines, "activity")
+    marked = sc.with_reject_reason(parsed, {"required": ["profile"], "properties": {"profile": {"required": ["headline"]}}})
+    assert {r.value: r.reject_reason for r in marked.collect()} == cases
+    good, _ = sc.split_valid(parsed)
+    for df in (good, sc.validate_ranges(parsed).filter("ranges_ok"), sc.quarantine_counts(parsed, {"required": ["profile"]})):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson") == 1 and "from_json" not in plan and "get_json_object" not in plan
