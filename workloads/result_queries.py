@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from candisieve.operators import analytics as na
 from candisieve.operators import explain as ex
 from candisieve.operators import explore as xp
+from candisieve.operators import search_index as sx
 from candisieve.operators import quality as qa
 from candisieve.operators.profile import build_profile
 from candisieve.operators.skills import match_lists, requirement_coverage
-from candisieve.session import scratch_path
+from candisieve.session import materialize, scratch_path
 from workloads import testbed as tb
 from workloads.registry import d_raw, query
 from workloads.skill_sql import d_bound
@@ -343,6 +344,42 @@ def x01_days(spark, sf):
     return xp.search(tb.results(spark, sf), "90").select(*KEYS)
 
 
+def _indexed(spark, sf):
+    rows, path = materialize(tb.results(spark, sf), "results"), scratch_path(spark, "search")
+    sx.write_search_index(rows, path)
+    return rows, path
+
+
+@query("x01_indexed_search", _d_found("google"))
+def x01_indexed(spark, sf):
+    rows, path = _indexed(spark, sf)
+    return sx.indexed_search(rows, path, " Google ").select(*KEYS)
+
+
+_PIECES = " AND ".join(f"contains(t, '{piece}')" for piece in ("eng", "ngi", "gin", "ine", "nee", "eer"))
+_D_TEXTS = " UNION ".join(f"SELECT lower({field}) AS t FROM {table}" for table, fields in {
+    "res": ["candidate_id", "reasoning", "location", *[d_raw(c) for c in ("current_title", "current_company", "summary")],
+            "CASE WHEN years = floor(years) THEN CAST(CAST(years AS BIGINT) AS VARCHAR) ELSE CAST(years AS VARCHAR) END", "CAST(notice_days AS VARCHAR)"],
+    "cand_skill k WHERE k.candidate_id IN (SELECT candidate_id FROM res)": ["name"],
+    "cand_job k WHERE k.candidate_id IN (SELECT candidate_id FROM res)": ["company", "title"],
+    "cand_edu k WHERE k.candidate_id IN (SELECT candidate_id FROM res)": ["degree", "institution"],
+    "cand_cert k WHERE k.candidate_id IN (SELECT candidate_id FROM res)": ["name", "issuer"]}.items() for field in fields)
+
+
+# How many different texts there are, and how many of them the search has to compare with its needle.
+@query("x01_texts_compared", tb.d_results("cand_skill", "cand_job", "cand_edu", "cand_cert") + f"""SELECT count(*) AS n_texts,
+count(*) FILTER ({_PIECES}) AS n_with_all_pieces, count(*) FILTER (contains(t, 'engineer')) AS n_found, true AS skips FROM ({_D_TEXTS}) WHERE t IS NOT NULL""")
+def x01_compared(spark, sf):
+    _, path = _indexed(spark, sf)
+    # With as many pieces as the needle has, the texts compared are those that hold them all.
+    few = sx.compared_texts(spark, path, "engineer").agg(F.count("*").alias("n_compared"))
+    every = sx.compared_texts(spark, path, "engineer", most_grams=6).agg(
+        F.count("*").alias("n_with_all_pieces"), F.count_if("found").alias("n_found"))
+    counts = spark.read.parquet(f"{path}/texts").agg(F.count("*").alias("n_texts")).join(every).join(few)
+    return counts.select("n_texts", "n_with_all_pieces", "n_found", (
+        F.col("n_compared").between(F.col("n_with_all_pieces"), F.col("n_texts") - 1)).alias("skips"))
+
+
 @query("x02_sort", RES + "SELECT job_id, candidate_id, rank, final_score FROM result")
 def x02(spark, sf):
     return xp.sort_results(tb.flat(spark, sf, "result"), "score", "desc").select(*KEYS, "rank", "final_score")
