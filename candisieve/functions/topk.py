@@ -55,8 +55,9 @@ def join_shares(rows: DataFrame, other: DataFrame, shares: DataFrame, key: str)
     """``rows.join(other, key)`` where a key may own a large share of ``rows``.
 
     ``rows`` come from ``with_share``. A row of ``other`` is repeated for every share of its key,
-    so a key's rows meet it in as many tasks; each pair of rows still meets once.
+    so a key's rows meet it in as many tasks; each pair of rows still meets once. ``other`` is not
+    broadcast: rows that were prepared hold far more bytes than Spark expects of them.
     """
     dealt = other.join(shares, key, "left").withColumn("_share", F.explode(F.sequence(
         F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
-    return rows.join(dealt, [key, "_share"]).drop("_share")
+    return rows.join(dealt.hint("merge"), [key, "_share"]).drop("_share")

@@ -241,22 +241,22 @@ def score_cohort(
     """Score every row ``job_id, candidate_id`` of ``cohort``.
 
     ``vectors`` may hold ``candidate_id, embedding, role_embeddings`` and ``job_vectors``
-    ``job_id, job_embedding, title_embedding``. Shuffles: the joins by candidate and by
-    job, which meets its rows in shares where they are many, and small aggregates for cohort
-    rarity and the rows of a job. Everything else is a projection. Flagged rows stay, with score 0.
+    ``job_id, job_embedding, title_embedding``. Shuffles: the join of the ids with their job, which
+    meets them in shares where they are many, the join of both with the candidates, whose wide rows
+    are shuffled by their id only, and small aggregates for cohort rarity and the rows of a job.
+    Everything else is a projection. Flagged rows stay, with score 0.
     """
     ready = prepare_candidates(with_confidence(build_profile(cand), as_of))
+    if vectors is not None:
+        ready = ready.join(vectors, "candidate_id", "left")
+    else:
+        ready = ready.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn(
+            "role_embeddings", F.lit(None).cast("array<array<double>>"))
     pairs = cohort.select("job_id", "candidate_id")
     shares = key_shares(pairs, "job_id")
-    rows = with_share(pairs, shares, "job_id", "candidate_id").join(ready, "candidate_id")
     if rarity is None:
         rarity = skill_rarity(cohort.select("job_id", "candidate_id").join(
             cand.select("candidate_id", "skills"), "candidate_id"))
-    if vectors is not None:
-        rows = rows.join(vectors, "candidate_id", "left")
-    else:
-        rows = rows.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn(
-            "role_embeddings", F.lit(None).cast("array<array<double>>"))
     job = attach_rarity(prepare_jobs(jobs), rarity)
     if job_vectors is not None:
         job = job.join(job_vectors, "job_id", "left")
@@ -267,7 +267,8 @@ def score_cohort(
     job = job.select(
         "job_id", F.col("title").alias("job_title"), "requirements", "preferred_skills", "min_years",
         "critical", "atomic", "units", "rarity", "job_embedding", "title_embedding")
-    return score_rows(join_shares(rows, job, shares, "job_id"), synonyms, as_of)
+    rows = join_shares(with_share(pairs, shares, "job_id", "candidate_id"), job, shares, "job_id")
+    return score_rows(rows.join(ready, "candidate_id"), synonyms, as_of)
 
 
 def score_rows(rows: DataFrame, synonyms: DataFrame | None = None, as_of: str = AS_OF_DATE) -> DataFrame:
