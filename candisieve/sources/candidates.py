@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candisieve.functions.fixed_values import ID_PATTERN
-from candisieve.functions.text import strip
+from candisieve.functions.text import let, not_blank
 
 _STRING, _INT, _DOUBLE, _BOOL = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
@@ -58,21 +60,22 @@ def _fits(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return F.lit(True)
     if isinstance(kind, T.StructType):
-        ok = F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-        for field in kind.fields:
-            if not isinstance(field.dataType, T.StringType):
-                ok = ok & _fits(F.try_variant_get(value, f"$.{field.name}", "variant"), field.dataType)
+        # The fields are taken from the object in one go, and each is read by its place from then on.
+        checked = [f for f in kind.fields if not isinstance(f.dataType, T.StringType)]
+        taken = "struct<" + ",".join(f"{f.name}:variant" for f in checked or kind.fields[:1]) + ">"
+        ok = let(F.try_variant_get(value, "$", taken), lambda held: reduce(
+            Column.__and__, [_fits(held[f.name], f.dataType) for f in checked], held.isNotNull()))
     elif isinstance(kind, T.ArrayType):
         ok = F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: _fits(x, kind.elementType)), F.lit(False))
     elif isinstance(kind, T.MapType):
         inner = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
         ok = F.coalesce(F.forall(inner, lambda x: _fits(x, kind.valueType)), F.lit(False))
     else:
-        written = {_INT: "BIGINT", _DOUBLE: "BIGINT|DOUBLE|FLOAT|DECIMAL.*", _BOOL: "BOOLEAN"}[kind]
-        ok = F.schema_of_variant(value).rlike(f"^({written})$")
+        written = {_INT: ["BIGINT"], _DOUBLE: ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"], _BOOL: ["BOOLEAN"]}[kind]
+        ok = F.substring(F.schema_of_variant(value), 1, 7).isin(written)
         if kind == _INT:
             ok = ok & F.try_variant_get(value, "$", "int").isNotNull()
-    return value.isNull() | F.is_variant_null(value) | ok
+    return ok | value.isNull() | F.is_variant_null(value)
 
 
 def _once(df: DataFrame, *columns: Column) -> DataFrame:
@@ -89,15 +92,15 @@ def parse_candidates(lines: DataFrame, signals_key: str = "signals") -> DataFram
     repeats a key is no JSON here (``_json`` is null). ``signals_key`` names the root key that holds
     the activity signals.
     """
-    parsed = _once(lines.filter(strip("value") != "").select("value"), F.try_parse_json("value").alias(JSON))
+    parsed = _once(lines.filter(not_blank("value")).select("value"), F.try_parse_json("value").alias(JSON))
     root = _once(parsed, F.try_variant_get(JSON, "$", "map<string,variant>").alias("_root"))
-    columns, ok = [], F.col("_root").isNotNull()
-    for field in CANDIDATE_SCHEMA.fields:
-        held = F.try_element_at("_root", F.lit(signals_key if field.name == "signals" else field.name))
-        fits = _fits(held, field.dataType)
-        ok = ok & fits
-        columns.append(F.when(fits, F.try_variant_get(held, "$", field.dataType.simpleString())).alias(field.name))
-    return _once(root, *columns, F.when(~ok, F.col("value")).alias(CORRUPT)).drop("_root")
+    fields = list(enumerate(CANDIDATE_SCHEMA.fields))
+    held = _once(root, *[F.try_element_at("_root", F.lit(signals_key if f.name == "signals" else f.name)).alias(f"_held{i}") for i, f in fields])
+    checked = _once(held, *[_fits(F.col(f"_held{i}"), f.dataType).alias(f"_fits{i}") for i, f in fields])
+    columns = [F.when(F.col(f"_fits{i}"), F.try_variant_get(f"_held{i}", "$", f.dataType.simpleString())).alias(f.name) for i, f in fields]
+    ok = reduce(Column.__and__, [F.col(f"_fits{i}") for i, _ in fields], F.col("_root").isNotNull())
+    typed = _once(checked, *columns, F.when(~ok, F.col("value")).alias(CORRUPT))
+    return typed.drop("_root", *[f"_{what}{i}" for i, _ in fields for what in ("held", "fits")])
 
 
 def read_candidates(spark: SparkSession, path: str, signals_key: str = "signals") -> DataFrame:
@@ -276,14 +279,14 @@ def preflight(lines: DataFrame) -> DataFrame:
     form of the check is ``preflight_head``.
     """
     shaped = _has_keys(F.try_parse_json("value"), ["candidate_id", "profile"])
-    counts = lines.filter(strip("value") != "").agg(
+    counts = lines.filter(not_blank("value")).agg(
         F.count("*").alias("n_rows"), F.count_if(shaped).alias("n_shaped"))
     return counts.withColumn("accepted", (F.col("n_rows") > 0) & (F.col("n_shaped") > 0))
 
 
 def preflight_head(lines: DataFrame, n: int = 5) -> DataFrame:
     """S08 on the first ``n`` rows as they lie in the file."""
-    return preflight(lines.filter(strip("value") != "").limit(n))
+    return preflight(lines.filter(not_blank("value")).limit(n))
 
 
 def dataset_status(df: DataFrame) -> DataFrame:

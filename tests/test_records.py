@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candisieve.functions import vector_search
 from candisieve.functions.topk import top_k_per_key
@@ -129,3 +130,39 @@ def test_a_line_is_parsed_once_and_strictly(spark):
     for df in (good, sc.validate_ranges(parsed).filter("ranges_ok"), sc.quarantine_counts(parsed, {"required": ["profile"]})):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("parseJson") == 1 and "from_json" not in plan and "get_json_object" not in plan
+
+
+def test_checks_of_a_line_stand_once_in_the_plan(spark):
+    """Neither the check of a root key nor a walk over the whole text is paid twice for a line."""
+    lines = spark.range(1).select(F.lit("{}").alias("value")).union(spark.createDataFrame([(" \u3000\t",), (None,)], "value string"))
+    parsed = sc.parse_candidates(lines)
+    plan = parsed._jdf.queryExecution().optimizedPlan()
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        text = plan.toString()
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+    def leaves(kind):
+        if isinstance(kind, T.StructType):
+            return sum(leaves(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return leaves(kind.elementType)
+        return leaves(kind.valueType) if isinstance(kind, T.MapType) else int(not isinstance(kind, T.StringType))
+    assert text.count("schemaOfVariant") == leaves(sc.CANDIDATE_SCHEMA) and "regexp_replace" not in text
+    assert [r["value"] for r in parsed.collect()] == ["{}"]
+
+
+def test_values_that_do_not_fit_at_every_level(spark):
+    def fits(key, value):
+        return sc.parse_candidates(spark.createDataFrame([('{"%s": %s}' % (key, value),)], "value string")).first()._corrupt is None
+    for key, value in [("skills", '[{"endorsements": 5}, null, {"endorsements": null}, {}]'), ("skills", "null"), ("skills", "[]"), ("languages", '[{"language": 5}]'),
+                       ("signals", '{"skill_assessment_scores": {"a": 1, "b": 1.5, "c": 1e300, "d": null}, "verified_email": true}'), ("signals", "{}"),
+                       ("signals", '{"expected_salary_range_inr_lpa": {"min": 1, "other": "x"}}'), ("profile", '{"years_of_experience": 123456789012345678901}')]:
+        assert fits(key, value), (key, value)
+    for key, value in [("skills", '[{"endorsements": 5}, 7]'), ("skills", '[{"endorsements": 5.0}]'), ("skills", '[{"endorsements": 3000000000}]'), ("skills", "{}"),
+                       ("languages", '["x"]'), ("languages", "[[]]"), ("signals", "[]"), ("signals", '{"skill_assessment_scores": {"a": "1"}}'), ("signals", '{"verified_email": 1}'),
+                       ("signals", '{"expected_salary_range_inr_lpa": {"min": true}}'), ("signals", '{"expected_salary_range_inr_lpa": 3}'), ("profile", '{"years_of_experience": "7"}')]:
+        assert not fits(key, value), (key, value)
