@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from candisieve import session
 from candisieve.llm import ann, jaccard_join
 from candisieve.llm.components import components
 
@@ -136,3 +137,14 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     words = {i: len(live[i].split()) for i in stay}
     total = sum(words.values())
     assert abs(sum(n * words[i] for i, n in served.items()) - 1.5 * total) < 0.1 * total
+
+
+def test_turns_and_filter_lose_no_link_and_leave_no_files(spark, monkeypatch, tmp_path):
+    for name, value in (("TURN_GROUPS", 8), ("BLOCK_TEXTS", 4), ("LONG_LIST", 3), ("HUBS", 1), ("FILTER_BITS", 1 << 15), ("BITS_AN_ID", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    rows = made(4)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 80)
+    # What the result still reads: the sizes and the last round of links.
+    assert sorted(p.name[:-33] for p in tmp_path.iterdir()) == ["edges", "jaccard-sizes"]
